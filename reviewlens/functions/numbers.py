@@ -9,9 +9,9 @@ from reviewlens.functions.fixed_values import CLASSES
 
 
 def coerce_number(col: Column) -> Column:
-    """Number of a text column; anything unreadable and NaN give null."""
-    value = F.trim(col.cast("string")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """Number of a text column; anything that is not a plain decimal number gives null."""
+    text = F.trim(col.cast("string"))
+    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 
 def weak_label(rating: Column) -> Column:

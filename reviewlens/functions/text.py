@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 
+# White space of every script; ``\s`` alone is ASCII only.
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 
 def squeeze(col: Column) -> Column:
     """Collapse every run of white space to one space and strip both ends."""
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    return F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
 
 
 def strip(col: Column) -> Column:
     """Remove white space of any kind from both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def basic_clean(col: Column, keep_underscore: bool = False) -> Column:
     """Lower-case; everything but ASCII letters, digits, apostrophes and spaces becomes a space."""
     allowed = r"[^a-z0-9_\s']" if keep_underscore else r"[^a-z0-9\s']"
-    return squeeze(F.regexp_replace(F.lower(col), allowed, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col), allowed, " "), r"\s+", " "))
 
 
 def raw_tokens(col: Column) -> Column:
