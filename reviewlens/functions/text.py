@@ -63,15 +63,20 @@ def word_tokens(col: Column) -> Column:
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
-    """All word n-grams with ``low`` to ``high`` words, joined by one space."""
-    def of(n: int) -> Column:
-        if n == 1:
-            return tokens
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    """All word n-grams with ``low`` to ``high`` words, joined by one space.
+
+    Each length is built from the one below by zipping two whole arrays; picking
+    words one position at a time would copy the array for every position.
+    """
+    grams, found = tokens, []
+    for n in range(1, high + 1):
+        if n > 1:
+            count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+            grams = F.zip_with(F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(n), count),
+                               lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= low:
+            found.append(grams)
+    return F.concat(*found)
 
 
 # Text preparations that need nothing but the row.  Stemming and lemmatising go

@@ -32,14 +32,16 @@ def category_column(raw: DataFrame, fallback: str = "column") -> Column:
     return raw_column(raw, "primaryCategories")
 
 
-def to_reviews(raw: DataFrame, category_fallback: str = "column", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Project raw rows to the review table; missing titles, texts and categories become empty."""
+def to_reviews(raw: DataFrame, category_fallback: str = "column", keep: tuple[str, ...] = (),
+               fill_name: bool = True) -> DataFrame:
+    """Project raw rows to the review table; missing texts become empty, names only with ``fill_name``."""
     empty = F.lit("")
+    name = raw_column(raw, "name")
     title = F.coalesce(raw_column(raw, "reviews.title"), empty)
     text = F.coalesce(raw_column(raw, "reviews.text"), empty)
     return raw.select(
         *keep,
-        raw_column(raw, "name").alias("product_name"),
+        (F.coalesce(name, empty) if fill_name else name).alias("product_name"),
         F.coalesce(category_column(raw, category_fallback), empty).alias("category_text"),
         title.alias("review_title"),
         text.alias("review_text"),
@@ -86,8 +88,11 @@ def dedupe_audit(reviews: DataFrame, keys: list[str] = REVIEW_KEYS) -> DataFrame
 
 def review_table(raw: DataFrame, require_name: bool = True, keep: tuple[str, ...] = (),
                  order: Column | None = None, category_fallback: str = "column") -> DataFrame:
-    """Raw rows to labelled, filtered, de-duplicated reviews."""
-    reviews = valid_reviews(to_reviews(raw, category_fallback, keep), require_name)
+    """Raw rows to labelled, filtered, de-duplicated reviews.
+
+    Without ``require_name`` a missing name stays missing, as a key of its own.
+    """
+    reviews = valid_reviews(to_reviews(raw, category_fallback, keep, require_name), require_name)
     return label_reviews(dedupe_reviews(reviews, REVIEW_KEYS, order))
 
 

@@ -53,10 +53,8 @@ def run(spark: SparkSession, reviews: DataFrame, taxonomy: DataFrame, out: str,
     products = load_or_build(spark, f"{out}/evidence", build, rebuild)
     existing = read_cards(spark, f"{out}/cards") if only_missing else None
     made = cards.build_cards(products, generate, sample, existing)
-    # New cards go to a folder of their own; the card table is the union of both.
-    write_json(made, f"{out}/new_cards" if only_missing else f"{out}/cards")
-    made = read_cards(spark, f"{out}/new_cards" if only_missing else f"{out}/cards")
-    every = cards.append_cards(existing, made) if only_missing else made
+    write_json(made, f"{out}/cards", append=only_missing)
+    every = read_cards(spark, f"{out}/cards")
     lookup = add_aliases(image_lookup(images)) if images is not None else None
     shown = gallery_table(every, lookup)
     write_table(shown, f"{out}/gallery")

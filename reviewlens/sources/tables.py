@@ -35,8 +35,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     writer.save(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    write_table(df, path, "json")
+def write_json(df: DataFrame, path: str, append: bool = False) -> None:
+    """Write rows as JSON; ``append`` adds them to a table that may be read by the same plan."""
+    df.write.mode("append" if append else "overwrite").json(path)
 
 
 def write_lines(lines: DataFrame, order: list, path: str) -> None:
