@@ -1,8 +1,9 @@
-"""Session helpers: reliable checkpoints and size-checked broadcasts."""
+"""Session helpers: tables in the shared checkpoint folder and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +24,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="reviewlens-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage.
+
+    A written table survives lost executors like a checkpoint does.  Unlike one it
+    carries no optimizer constraints of the old plan, which double with every pass of
+    a loop, and it is read with its true size and with column pruning.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
