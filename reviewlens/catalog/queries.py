@@ -699,7 +699,7 @@ def hier_labels(v):
 
 @query()
 def svd_features(v):
-    products = evidence.with_identity(clustered_products(v).select("product_name"))
+    products = materialise(evidence.with_identity(clustered_products(v).select("product_name")))
     weights, terms = cluster_plan.scenario_weights(products, F.col("after_text"))
     vectors = features.vectors_from_long(materialise(weights), "product_name", terms).persist()
     return features.svd_features(vectors, "product_name").select("product_name", F.size("vector").alias("axes"))
@@ -719,7 +719,7 @@ def pca_coordinates(v):
 
 @query()
 def cluster_scenarios(v):
-    products = evidence.with_identity(clustered_products(v).drop("cluster_id"))
+    products = materialise(evidence.with_identity(clustered_products(v).drop("cluster_id")))
     weights, terms = cluster_plan.scenario_weights(products, F.col("after_text"))
     out = cluster_plan.run_scenario(products, weights, terms, "after_canonical_no_reviews", [4, 6], restarts=1)
     return clustering.scenario_comparison([out["scan"]])
@@ -730,20 +730,26 @@ def cluster_scenarios(v):
 _SMALL = features.TextVectorizer(low=1, high=1, min_df=2, max_features=3000)
 
 
+def split_reviews(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Training and test reviews, written once and read by every fit."""
+    train_rows, test_rows = sentiment.split_with_folds(materialise(prepared_reviews(v)), "doc_id")
+    return materialise(train_rows).persist(), materialise(test_rows).persist()
+
+
 def _trained(v: Views, **settings) -> DataFrame:
-    train_rows, test_rows = sentiment.split_with_folds(prepared_reviews(v).persist(), "doc_id")
+    train_rows, test_rows = split_reviews(v)
     model = sentiment.train(train_rows, sentiment.Settings(vectorizer=_SMALL, **settings))
     return metrics.result_columns(model.transform(test_rows))
 
 
 @query()
 def svm_metrics(v):
-    return _trained(v, kind="Linear SVM", iterations=30)
+    return _trained(v, kind="Linear SVM", iterations=10)
 
 
 @query()
 def logistic_metrics(v):
-    return _trained(v, kind="Logistic Regression", iterations=30)
+    return _trained(v, kind="Logistic Regression", iterations=10)
 
 
 @query()
@@ -763,32 +769,33 @@ def boosted_metrics(v):
 
 @query()
 def model_grid(v):
-    train_rows, test_rows = sentiment.split_with_folds(prepared_reviews(v).drop("prepared").persist(), "doc_id")
-    settings = [sentiment.Settings(kind=k, vectorizer=_SMALL, iterations=20) for k in ["Linear SVM", "Naive Bayes"]]
-    return sentiment.compare_models(train_rows, test_rows, ["raw_tokens", "basic_clean"], settings, "doc_id").drop("vectorizer")
+    train_rows, test_rows = split_reviews(v)
+    settings = [sentiment.Settings(kind=k, vectorizer=_SMALL, iterations=5) for k in ["Linear SVM", "Naive Bayes"]]
+    return sentiment.compare_models(train_rows.drop("prepared"), test_rows.drop("prepared"), ["basic_clean"], settings,
+                                    "doc_id").drop("vectorizer")
 
 
 @query()
 def random_search(v):
-    train_rows, _ = sentiment.split_with_folds(prepared_reviews(v).persist(), "doc_id")
+    train_rows, _ = split_reviews(v)
     candidates = sentiment.sample_settings(n=2)
     for c in candidates:
-        c.iterations = 10
-    return sentiment.random_search(train_rows.persist(), candidates)
+        c.iterations = 3
+    return sentiment.random_search(train_rows, candidates)
 
 
 @query()
 def extra_experiments(v):
-    train_rows, test_rows = sentiment.split_with_folds(prepared_reviews(v).persist(), "doc_id")
-    setting = sentiment.Settings(vectorizer=_SMALL, iterations=20)
-    return sentiment.extra_experiments(train_rows.persist(), test_rows.persist(), setting, "doc_id")
+    train_rows, test_rows = split_reviews(v)
+    setting = sentiment.Settings(vectorizer=_SMALL, iterations=5)
+    return sentiment.extra_experiments(train_rows, test_rows, setting, "doc_id")
 
 
 @query()
 def production_scores(v):
     rows = text_reviews(v)
     lemmas = features.plural_lemmas(features.distinct_tokens(rows, "text"))
-    settings = sentiment.Settings(vectorizer=features.TextVectorizer(min_df=1, max_features=5000), iterations=20)
+    settings = sentiment.Settings(vectorizer=features.TextVectorizer(min_df=1, max_features=5000), iterations=5)
     scored = card_plan.production_scores(rows, "doc_id", lemmas, settings=settings)
     return scored.select("doc_id", "label", "predicted_sentiment")
 
@@ -946,9 +953,9 @@ def gallery_table(v):
 
 
 def _gallery_sql(order: str, where: str = "true", limit: str = "") -> str:
-    return f"""SELECT raw_product_name, CAST(rank AS INT) AS rank, CASE rank WHEN 1 THEN 'Top pick' WHEN 2 THEN 'Runner-up'
- WHEN 3 THEN 'Also consider' ELSE 'Rank ' || rank END AS pick FROM (SELECT raw_product_name, row_number() OVER
- (ORDER BY {order}, category, display_name) AS rank FROM {{gallery}} WHERE {where} {limit})"""
+    return f"""SELECT raw_product_name, CAST(place AS INT) AS rank, CASE place WHEN 1 THEN 'Top pick' WHEN 2 THEN 'Runner-up'
+ WHEN 3 THEN 'Also consider' ELSE 'Rank ' || place END AS pick FROM (SELECT raw_product_name, row_number() OVER
+ (ORDER BY {order}, category, display_name) AS place FROM {{gallery}} WHERE {where} {limit})"""
 
 
 def _shown(v: Views, **options) -> DataFrame:
@@ -965,7 +972,7 @@ def gallery_highest_rating(v):
     return _shown(v, sort="highest_rating", evidence="medium")
 
 
-@query(_gallery_sql("review_count DESC, evidence_tier_for_app DESC, trust_score_for_app DESC", "true", "QUALIFY rank <= 25"))
+@query(_gallery_sql("review_count DESC, evidence_tier_for_app DESC, trust_score_for_app DESC", "true", "QUALIFY place <= 25"))
 def gallery_most_reviews(v):
     return _shown(v, sort="most_reviews", top_n=25)
 

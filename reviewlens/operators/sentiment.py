@@ -125,14 +125,15 @@ def fit_stages(featured: DataFrame, settings: Settings) -> PipelineModel:
         one_sided = {c: weight} if settings.balanced and kind == "Linear SVM" else {}
         mass = total + positive * (one_sided.get(c, 1.0) - 1.0)
         binary = numbered.withColumn("target", (F.col("label") == c).cast("double")).withColumn("w", weights(one_sided))
-        common = dict(featuresCol="features", labelCol="target", rawPredictionCol=f"raw_{c}",
-                      predictionCol=f"side_{c}")
+        common = dict(featuresCol="features", labelCol="target", predictionCol=f"side_{c}")
         if kind == "Linear SVM":
             learner = LinearSVC(weightCol="w", regParam=1.0 / (settings.c * mass), standardization=False,
                                 maxIter=settings.iterations, **common)
         else:
             learner = GBTClassifier(maxIter=settings.boost_rounds, maxDepth=settings.boost_depth,
-                                    stepSize=settings.boost_rate, seed=42, probabilityCol=f"probability_{c}", **common)
+                                    stepSize=settings.boost_rate, seed=42, **common)
+            learner = learner.set(learner.probabilityCol, f"probability_{c}")
+        learner = learner.set(learner.rawPredictionCol, f"raw_{c}")
         stages.append(learner.fit(binary))
     return PipelineModel(stages)
 
