@@ -590,6 +590,11 @@ def lemmatized_text(v):
     return features.preprocess(docs, "lemmatization", "doc_id", out="lemmas", table=lemmas).select("doc_id", "lemmas")
 
 
+def labelled_ids(v: Views) -> DataFrame:
+    """Id and label of every review, written once: a split reads them several times."""
+    return materialise(text_reviews(v).select("doc_id", "label"))
+
+
 @query("""SELECT label, count(*) AS class_rows, round((SELECT count(*) FROM {reviews}) / (3.0::DOUBLE * count(*)), 6)
  AS class_weight FROM {reviews} GROUP BY label""")
 def class_weights(v):
@@ -599,18 +604,18 @@ def class_weights(v):
 @query("""SELECT label, unnest([true, false]) AS is_test, unnest([round(0.2::DOUBLE * count(*)), count(*) - round(0.2::DOUBLE
  * count(*))])::BIGINT AS n FROM {reviews} GROUP BY label""")
 def split_counts(v):
-    return splits.stratified_split(text_reviews(v), "label", "doc_id").groupBy("label", "is_test").agg(F.count("*").alias("n"))
+    return splits.stratified_split(labelled_ids(v), "label", "doc_id").groupBy("label", "is_test").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT label, unnest([0, 1, 2])::INT AS fold, unnest([round(count(*) / 3.0::DOUBLE), round(count(*) * (2 / 3.0::DOUBLE))
  - round(count(*) / 3.0::DOUBLE), count(*) - round(count(*) * (2 / 3.0::DOUBLE))])::BIGINT AS n FROM {reviews} GROUP BY label""")
 def fold_counts(v):
-    return splits.stratified_folds(text_reviews(v), "label", "doc_id").groupBy("label", "fold").agg(F.count("*").alias("n"))
+    return splits.stratified_folds(labelled_ids(v), "label", "doc_id").groupBy("label", "fold").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT label, (SELECT min(n) FROM (SELECT count(*) AS n FROM {reviews} GROUP BY label))::BIGINT AS n FROM {reviews} GROUP BY label""")
 def downsample_counts(v):
-    return splits.downsample(text_reviews(v), "label", "doc_id").groupBy("label").agg(F.count("*").alias("n"))
+    return splits.downsample(labelled_ids(v), "label", "doc_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
 # --- clustering ---------------------------------------------------------------------------

@@ -128,13 +128,12 @@ def loose_matches(products: DataFrame, lookup: DataFrame, id_col: str) -> DataFr
     left = ordered(product_sets).withColumn("needed", needed).filter(F.size("known") >= F.col("needed"))
     left = left.select("tokens", "needed", F.explode(F.slice(
         F.col("known"), F.lit(1), F.size("known") - F.col("needed") + 1)).alias("token"))
-    right = ordered(image_sets.select("tokens")).select(
-        F.col("tokens").alias("image_tokens"),
+    right = ordered(image_sets.select("tokens")).join(image_sets, "tokens").select(
+        F.col("tokens").alias("image_tokens"), "url", "ord",
         F.explode(F.slice(F.col("known"), F.lit(1), F.size("known") - 2)).alias("token"))
-    pairs = left.join(right, "token").select("tokens", "needed", "image_tokens").distinct()
-    shared = pairs.withColumn("shared", F.size(F.array_intersect("tokens", "image_tokens"))).filter(
-        F.col("shared") >= F.col("needed"))
-    scored = shared.join(image_sets.select(F.col("tokens").alias("image_tokens"), "ord", "url"), "image_tokens")
+    # A pair that meets on several tokens is checked for each; taking the best ignores the repeats.
+    scored = left.join(right, "token").withColumn(
+        "shared", F.size(F.array_intersect("tokens", "image_tokens"))).filter(F.col("shared") >= F.col("needed"))
     best = scored.groupBy("tokens").agg(F.min_by(
         F.struct("image_tokens", "url", "shared"), F.struct((-F.col("shared")).alias("s"), "ord")).alias("b"))
     matched = wanted.join(best, "tokens")

@@ -132,8 +132,8 @@ def fit_stages(featured: DataFrame, settings: Settings) -> PipelineModel:
         else:
             learner = GBTClassifier(maxIter=settings.boost_rounds, maxDepth=settings.boost_depth,
                                     stepSize=settings.boost_rate, seed=42, **common)
-            learner = learner.set(learner.probabilityCol, f"probability_{c}")
-        learner = learner.set(learner.rawPredictionCol, f"raw_{c}")
+            learner.set(learner.probabilityCol, f"probability_{c}")
+        learner.set(learner.rawPredictionCol, f"raw_{c}")
         stages.append(learner.fit(binary))
     return PipelineModel(stages)
 
