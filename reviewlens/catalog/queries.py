@@ -783,7 +783,8 @@ def model_grid(v):
 @query()
 def random_search(v):
     train_rows, _ = split_reviews(v)
-    candidates = sentiment.sample_settings(n=2)
+    space = {**sentiment.SEARCH_SPACE, "high": [1], "max_features": [2000, 3000]}
+    candidates = sentiment.sample_settings(space, n=2)
     for c in candidates:
         c.iterations = 3
     return sentiment.random_search(train_rows, candidates)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD_PATTERN = r"[\p{L}\p{N}_]+"
+WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 # White space of every script; ``\s`` alone is ASCII only.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -58,8 +58,7 @@ def paragraphs(col: Column) -> Column:
 
 def word_tokens(col: Column) -> Column:
     """Lower-case runs of at least two word characters of any script."""
-    return F.filter(F.regexp_extract_all(F.lower(col), F.lit(f"({WORD_PATTERN})"), F.lit(1)),
-                    lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(col), F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
