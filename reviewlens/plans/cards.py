@@ -44,10 +44,11 @@ def production_scores(reviews: DataFrame, id_col: str, lemmas: DataFrame | None
 def run(spark: SparkSession, reviews: DataFrame, taxonomy: DataFrame, out: str, id_col: str = "review_id",
         lemmas: DataFrame | None = None, images: DataFrame | None = None,
         generate: Callable[[pd.Series], pd.Series] | None = None, sample: int | None = None,
-        only_missing: bool = False, rebuild: bool = False, in_sample: bool = True) -> dict[str, DataFrame]:
+        only_missing: bool = False, rebuild: bool = False, in_sample: bool = True,
+        settings: sentiment.Settings = PRODUCTION) -> dict[str, DataFrame]:
     """Evidence (saved and reused), cards, and the gallery table, written below ``out``."""
     def build() -> DataFrame:
-        scored = production_scores(reviews, id_col, lemmas, f"{out}/model", in_sample=in_sample)
+        scored = production_scores(reviews, id_col, lemmas, f"{out}/model", settings, in_sample)
         return evidence.product_evidence(scored, taxonomy)
 
     products = load_or_build(spark, f"{out}/evidence", build, rebuild)
