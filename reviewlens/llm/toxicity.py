@@ -21,7 +21,7 @@ from reviewlens.llm import texts
 FEATURE_BITS = 20
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 16384
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 EPOCHS = 3
 
 
