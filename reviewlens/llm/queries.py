@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import bpe, fingerprints, language, toxicity
+from reviewlens.llm import (bpe, fingerprints, language, licenses, lines, mixing, ordered_minhash, pivots, suffixes,
+                            toxicity)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -14,14 +15,26 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def fold(parts: int):
+    """Remainder by which rows are held out; null for a null doc_id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
 
+def op1_pivot_permutations(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.link_vectors(read(spark, folder, "embeddings"))
+
+
+def op2_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return ordered_minhash.near_copies(read(spark, folder, "documents"))
+
+
+def op3_hierarchical_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixing_report(read(spark, folder, "documents"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read(spark, folder, "documents").withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
-    model = language.train(docs.where("not held_out"))
-    made = language.predict(docs, model)
-    return made.withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
+    docs = read(spark, folder, "documents")
+    model = language.train(docs.where(F.coalesce(fold(4) != 2, F.lit(True))))
+    return language.predict(docs, model).withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,9 +47,26 @@ def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_toxicity, op6_bpe_round_trip, op8_fingerprints)}
-ORACLES: dict[str, str] = {}
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"]),
+                                        F.lit(0)).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pivot_permutations, op2_order_minhash, op3_hierarchical_mix, op4_language_id, op5_toxicity, op6_bpe_round_trip,
+    op7_license_scan, op8_fingerprints, op9_suffix_dedup, op10_line_dedup)}
+ORACLES = {"op3_hierarchical_mix": mixing.ORACLE, "op7_license_scan": licenses.oracle(), "op10_line_dedup": lines.ORACLE}
