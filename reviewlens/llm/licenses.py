@@ -146,7 +146,7 @@ def oracle(templates=None) -> str:
     shares = [f"CASE WHEN {has(p)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for p, _ in BASE]
     shares += [f"CASE WHEN {all_of(must)} THEN ({' + '.join(words([*must, *more]))})::DOUBLE / "
                f"{float(sum(len(p.split()) for p in (*must, *more)))}::DOUBLE ELSE 0.0::DOUBLE END" for _, must, more in templates]
-    sort = lambda xs: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{xs}], x -> x IS NOT NULL))), ','), '')"
+    sort = lambda xs: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{xs}], lambda x: x IS NOT NULL))), ','), '')"
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),

@@ -3,7 +3,7 @@
 A line is the set of its words.  A line goes when an earlier line (smaller doc_id, then line number) has a word
 set of Jaccard similarity 0.8 or more; the earliest stays.
 
-1. Word rarity: hashed word counts in ``SLOTS`` slots, one small row of counts whatever the input.  Any fixed order
+1. Word rarity: hashed word counts in ``SLOTS`` slots, a byte each, whatever the input.  Any fixed order
    of words keeps the filters below exact; rare first keeps their lists short.
 2. Lines with equal sets are one entry with its first place (pre-aggregated, so a line that makes up a third of
    all lines leaves each task once).
@@ -34,21 +34,20 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _slot_counts(texts: DataFrame) -> DataFrame:
-    """One row: an array with the number of words in each slot."""
+def _rarity(texts: DataFrame) -> bytes:
+    """One byte per slot, larger for more words: four times the binary logarithm of the slot's word count."""
     slots = texts.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("word")).select(
-        F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    every = texts.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").withColumn("n", F.lit(0).cast("long"))
-    dense = slots.unionByName(every).groupBy("slot").agg(F.sum("n").alias("n"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("counts"))
+        F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")).groupBy("slot").agg(
+        F.least(F.floor(4 * F.log2(F.count("*") + 1)), F.lit(126)).cast("int").alias("n"))
+    known = {r["slot"]: r["n"] for r in slots.collect()}  # SLOTS rows at most
+    return bytes(1 + known.get(i, 0) for i in range(SLOTS))
 
 
-def _lines(texts: DataFrame, counts: DataFrame) -> DataFrame:
+def _lines(texts: DataFrame, rarity: bytes) -> DataFrame:
     """doc_id, text_hash, line_no and the line's word set: entry (its hash), size, signature and prefix of rare words."""
-    counts = counts.scalar()
-    # A word's code: its slot's count above 32 bits of its hash, so that sorting puts rare words first.
-    code = lambda h: F.shiftleft(F.get(counts, F.pmod(h, F.lit(SLOTS)).cast("int")), 32).bitwiseOR(
-        F.shiftrightunsigned(h, 32))
+    # A word's code: its slot's rarity above 56 bits of its hash, so that sorting puts rare words first.
+    code = lambda h: F.shiftleft(F.ascii(F.substring(
+        F.lit(bytearray(rarity)), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     rows = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.filter(F.split(F.lower("line"), SEPARATORS), lambda w: w != "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
@@ -77,8 +76,7 @@ def _candidates(entries: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and the sorted line numbers (from 0) that go; documents that lose nothing are left out."""
     texts = _documents(docs)
-    counts = materialise(_slot_counts(texts))
-    lines = materialise(_lines(texts, counts))
+    lines = materialise(_lines(texts, _rarity(texts)))
     entries = lines.groupBy("entry").agg(
         F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("size").alias("size"),
         F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
@@ -159,7 +157,7 @@ ORACLE = r"""
 WITH l AS (SELECT doc_id, i - 1 AS line_no, string_split(coalesce(text, ''), chr(10))[i] AS line
   FROM documents, generate_series(1, len(string_split(coalesce(text, ''), chr(10)))) g(i)),
 w AS (SELECT doc_id, line_no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line),
-  '[\x00-/:-@\[-`{-\x7F]+'), x -> x <> ''))) AS words FROM l),
+  '[\x00-/:-@\[-`{-\x7F]+'), lambda x: x <> ''))) AS words FROM l),
 e AS (SELECT words, min(struct_pack(d := doc_id, n := line_no)) AS place, row_number() OVER () AS e FROM w WHERE len(words) > 0 GROUP BY words),
 t AS (SELECT e, unnest(words) AS word FROM e WHERE len(words) >= 4),
 c AS (SELECT word, count(*) AS n FROM t GROUP BY word),
