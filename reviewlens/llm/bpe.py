@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 NONE = 1 << 60
 #: Fixed value: how the vocabulary cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_000_000
 KEPT_BYTES = 64
 
 
@@ -52,6 +52,21 @@ class PairTree:
             best[node] = value
 
 
+class _Known(dict):
+    """Ids of words merged so far; a word it lacks is merged, and kept if it is short and there is room."""
+
+    def __init__(self, coder: ByteBpe):
+        self.coder = coder
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.coder.merge(word.encode())
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary file (JSON with ``model.vocab`` and ``model.merges``)."""
 
@@ -71,7 +86,7 @@ class ByteBpe:
         self.added_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") \
             if added else None
         self.words = regex.compile(PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         ids = [self.single[b] for b in word]
@@ -101,22 +116,15 @@ class ByteBpe:
                 tree.put(left, NONE if f is None else f[0] * n + left)
         return tuple(i for i in ids if i >= 0)
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.merge(word.encode("utf-8", "surrogatepass"))
-            if len(word) <= KEPT_BYTES:
-                if len(self.known) >= KEPT_WORDS:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
+    def _ids(self, text: str) -> Iterator[int]:
+        return chain.from_iterable(map(self.known.__getitem__, self.words(text)))
 
     def encode(self, text: str) -> list[int]:
         if self.added_cut is None or not self.added_cut.search(text):
-            return list(chain.from_iterable(map(self.word, self.words(text))))
+            return list(self._ids(text))
         ids: list[int] = []
         for part in self.added_cut.split(text):
-            ids.extend([self.added[part]] if part in self.added else chain.from_iterable(map(self.word, self.words(part))))
+            ids.extend([self.added[part]] if part in self.added else self._ids(part))
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -137,7 +145,7 @@ def load(path: str) -> dict:
     return {"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec.get("added_tokens")}
 
 
-def _over(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
+def _over(docs: DataFrame, path: str, rows, schema: str, kinds: list[pa.DataType]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +154,14 @@ def _over(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 columns = zip(*(rows(coder, text or "") for text in part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns, kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids of each text.  A null text is empty and has no ids; rows may repeat."""
-    return _over(docs, path, lambda coder, text: (coder.encode(text),), "doc_id long, ids array<int>")
+    return _over(docs, path, lambda coder, text: (coder.encode(text),), "doc_id long, ids array<int>", [pa.list_(pa.int32())])
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -168,4 +176,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         return (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                 hashlib.sha256(coder.decode(ids).encode()).hexdigest())
 
-    return _over(docs, path, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _over(docs, path, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                 [pa.int64(), pa.string(), pa.string()])

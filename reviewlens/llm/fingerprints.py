@@ -112,7 +112,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = F.lit(0)
     if cuts:
         bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))])
-        place = F.coalesce(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))), F.lit(len(cuts) + 1))
+        place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
     rows = rows.withColumn("slice", place)
     heads = sorted((r["slice"], r["head"], r["n"]) for r in rows.groupBy("slice").agg(
         F.max("doc_id").alias("head"), F.count("*").alias("n")).collect())
