@@ -1,4 +1,6 @@
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -9,9 +11,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 def make_spark():
-    spark = (SparkSession.builder.master("local[8]").appName("reviewlens-tests")
+    spark = (SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").appName("reviewlens-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reviewlens-tests-"))
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
