@@ -134,7 +134,7 @@ def dedupe_reviews(v):
 @query("""SELECT doc_id, product_name, category_text FROM {review_cells} QUALIFY row_number() OVER
  (PARTITION BY product_name, category_text, review_title, review_text ORDER BY doc_id) = 1""")
 def dedupe_product_reviews(v):
-    return reviews.dedupe_reviews(cell_reviews(v), reviews.PRODUCT_REVIEW_KEYS, F.col("doc_id")).select(
+    return reviews.dedupe_reviews(cell_reviews(v), reviews.PRODUCT_REVIEW_KEYS, order=F.col("doc_id")).select(
         "doc_id", "product_name", "category_text")
 
 
@@ -550,10 +550,10 @@ _KEPT = f"list_filter({o.words('text')}, lambda w: w NOT IN ({', '.join(o.q(s) f
 
 @query(f"""SELECT term, count(*) AS n FROM (SELECT unnest(list_concat(list_concat(t, {o.bigrams('t')}),
  list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS term
- FROM (SELECT {_KEPT} AS t FROM {{documents}})) GROUP BY term HAVING count(*) >= 3""")
+ FROM (SELECT {_KEPT} AS t FROM {{documents}})) GROUP BY term""")
 def ngram_counts(v):
     termed = features.with_terms(v["documents"], "text", "terms", 1, 3, _STOPS)
-    return termed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter("n >= 3")
+    return termed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def document_terms(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -575,7 +575,7 @@ def vocabulary(v):
 @query("SELECT doc_id, term, round(weight, 6) AS weight FROM {tfidf}")
 def tfidf_weights(v):
     _, counts, vocab = document_terms(v)
-    return features.tfidf_long(counts, vocab, "doc_id", vocab_rows=15000).select("doc_id", "term", r6("weight"))
+    return features.tfidf_long(counts, vocab, "doc_id").select("doc_id", "term", r6("weight"))
 
 
 @query(f"""SELECT doc_id, string_agg(coalesce(normal, token), ' ' ORDER BY pos) AS lemmas FROM
@@ -648,7 +648,7 @@ def cluster_extent(v):
 
 def document_clusters(v: Views) -> tuple[DataFrame, DataFrame]:
     _, counts, vocab = document_terms(v)
-    weights = features.tfidf_long(counts, vocab, "doc_id", vocab_rows=15000)
+    weights = features.tfidf_long(counts, vocab, "doc_id")
     clusters = text_reviews(v).select("doc_id", "product_name", (
         F.length("source_file") * 10 + F.length("label")).cast("int").alias("cluster_id"))
     return weights, clusters

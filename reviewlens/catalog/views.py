@@ -84,7 +84,7 @@ SELECT d.doc_id, d.source AS source_file, p.name AS name, p.categories AS catego
   CASE WHEN d.n_chars % 5 = 4 THEN CAST(NULL AS VARCHAR(10)) ELSE {phrase('d.n_chars')} END AS title,
   CASE WHEN d.doc_id % 101 = 0 THEN '' ELSE d.text END AS text
 FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id
-LEFT JOIN {{v_products}} p ON p.p_partkey = d.n_chars % 200""",
+LEFT JOIN {{v_products}} p ON p.p_partkey = (d.n_chars * 13) % (SELECT max(p_partkey) + 1 FROM {{part}})""",
     # Image lists of products, as found in three files.
     "v_images": """
 SELECT CAST(page_id % 3 AS INT) AS source_rank, page_id AS row_ord, p.name AS name,

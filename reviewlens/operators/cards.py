@@ -117,17 +117,24 @@ def complete(prompted: DataFrame, generate: Callable[[pd.Series], pd.Series], id
              prompt: str = "prompt", out: str = "completion") -> DataFrame:
     """Text completion of every prompt by a caller's function, one Arrow batch at a time.
 
-    ``generate`` gets a batch of prompts and returns one text each.  An exception
-    becomes a text that starts like a failure, so that card assembly falls back.
+    ``generate`` gets a batch of prompts and returns one text each.  When a batch raises, its prompts are
+    tried one by one; an exception then becomes that prompt's text, which starts like a failure, so that
+    card assembly falls back.
     """
     chosen = prompted.select(*id_cols, prompt)
 
+    def one(single: pd.Series) -> str:
+        try:
+            return list(generate(single))[0]
+        except Exception as error:
+            return f"{FAILED}: {error}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 texts = list(generate(batch[prompt]))
-            except Exception as error:  # the service is the caller's: report, do not fail the job
-                texts = [f"{FAILED}: {error}"] * len(batch)
+            except Exception:  # the service is the caller's: find the prompts that fail, do not fail the job
+                texts = [one(batch[prompt].iloc[i:i + 1]) for i in range(len(batch))]
             yield batch[id_cols].assign(**{out: texts})
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in id_cols]

@@ -43,10 +43,12 @@ def silhouette(labelled: DataFrame, vector: str = "vector", cluster: str = "clus
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine").evaluate(shaped)
 
 
-def _scan_row(labelled: DataFrame, method: str, k: int, inertia: float | None) -> tuple | None:
+def _scan_row(labelled: DataFrame, method: str, k: int, inertia: float | None) -> tuple:
+    """One row of a scan.  Rows of zeros have no direction: both methods are scored without them."""
+    labelled = labelled.filter(F.col("cluster_id").isNotNull() & F.exists("vector", lambda x: x != 0))
     clusters = labelled.select("cluster_id").distinct().count()
     if clusters < 2:
-        return None
+        return (method, k, clusters, inertia, None, None)
     return (method, k, clusters, inertia, elbow_score(labelled).first()["elbow_score"], silhouette(labelled))
 
 
@@ -65,16 +67,16 @@ def kmeans_labels(vectors: DataFrame, model: KMeansModel, vector: str = "vector"
 
 
 def scan_kmeans(vectors: DataFrame, ks: list[int], vector: str = "vector", restarts: int = 10) -> DataFrame:
-    """Inertia, elbow score and silhouette for every k; stops where no new clusters appear."""
-    rows, seen = [], 0
+    """Inertia, elbow score and silhouette, one row for every k; scores are null where there are fewer than two
+    clusters or more clusters asked for than there are different rows."""
+    rows, different = [], vectors.select(vector).distinct().count()
     for k in ks:
+        if k > different:
+            rows.append(("KMeans", k, different, None, None, None))
+            continue
         model = fit_kmeans(vectors, k, vector, restarts)
         labelled = kmeans_labels(vectors, model, vector).withColumnRenamed(vector, "vector")
-        row = _scan_row(labelled, "KMeans", k, float(model.summary.trainingCost))
-        if row is None or row[2] <= seen:
-            break
-        rows.append(row)
-        seen = row[2]
+        rows.append(_scan_row(labelled, "KMeans", k, float(model.summary.trainingCost)))
     return vectors.sparkSession.createDataFrame(rows, SCAN_SCHEMA)
 
 
@@ -132,14 +134,13 @@ def merge_average_linkage(vectors: DataFrame, id_col: str, vector: str = "vector
     For unit rows the average distance of two clusters is 1 - sumA·sumB/(nA nB), so
     a cluster is its vector sum and size.  All pairs that are each other's nearest
     merge in the same round; average linkage is reducible, so the heights equal
-    those of one-at-a-time merging.  Equal rows start as one cluster (height 0) and
-    all-zero rows, which have no direction, are left out.
+    those of one-at-a-time merging.  Equal rows start as one cluster (height 0);
+    all-zero rows, which have no direction, have a null cid.
     """
     rounded = F.transform(vector, lambda x: F.round(x, 12) + F.lit(0.0))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), rounded.alias("vec")).filter(
-        F.exists("vec", lambda x: x != 0))
-    groups = materialise(rows.groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("size")))
-    members = rows.join(groups, "vec").select("id", "cid")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), rounded.alias("vec"))
+    groups = materialise(rows.filter(F.exists("vec", lambda x: x != 0)).groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("size")))
+    members = rows.join(groups, "vec", "left").select("id", "cid")
     clusters = groups.select("cid", F.transform("vec", lambda x: x * F.col("size")).alias("vec"), "size")
     history: list[DataFrame] = []
     count = clusters.count()
@@ -169,13 +170,14 @@ def cut_merges(members: DataFrame, merges: DataFrame, ks: list[int]) -> DataFram
     Every merge is an edge child -> parent.  Removing the max(k)-1 highest edges
     leaves the clusters for the largest k; their roots are found by pointer jumping
     (log of the depth joins).  Smaller k only join some of these few roots again.
+    Rows without a starting cluster have a null cluster for every k.
     """
     spark = members.sparkSession
     most = max(ks)
     top = merges.orderBy(F.col("height").desc(), F.col("child").desc()).limit(most - 1).collect()  # < max(k) rows
     removed = [r["child"] for r in top]
     kept = merges.filter(~F.col("child").isin(removed)) if removed else merges
-    nodes = members.select("cid").distinct()
+    nodes = members.select("cid").filter("cid IS NOT NULL").distinct()
     roots = nodes.join(kept.select(F.col("child").alias("cid"), "parent"), "cid", "left").select(
         "cid", F.coalesce("parent", "cid").alias("root"))
     moved = True
@@ -203,7 +205,9 @@ def cut_merges(members: DataFrame, merges: DataFrame, ks: list[int]) -> DataFram
         numbered = {root: i for i, root in enumerate(sorted({find(x) for x in base}))}
         mapping += [(k, x, numbered[find(x)]) for x in base]
     table = spark.createDataFrame(mapping, "k int, root long, cluster_id int")  # max(k) rows per k
-    return members.join(roots, "cid").join(F.broadcast(table), "root").select("id", "k", "cluster_id")
+    labelled = members.join(roots, "cid").join(F.broadcast(table), "root").select("id", "k", "cluster_id")
+    return labelled.unionByName(members.filter("cid IS NULL").select(
+        "id", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"), F.lit(None).cast("int").alias("cluster_id")))
 
 
 def scan_hierarchical(vectors: DataFrame, id_col: str, ks: list[int], vector: str = "vector",
@@ -215,9 +219,7 @@ def scan_hierarchical(vectors: DataFrame, id_col: str, ks: list[int], vector: st
     for k in ks:
         chosen = labels.filter(F.col("k") == k).select(F.col("id").alias(id_col), "cluster_id")
         labelled = vectors.select(id_col, F.col(vector).alias("vector")).join(chosen, id_col)
-        row = _scan_row(labelled, "Hierarchical", k, None)
-        if row is not None:
-            rows.append(row)
+        rows.append(_scan_row(labelled, "Hierarchical", k, None))
     return vectors.sparkSession.createDataFrame(rows, SCAN_SCHEMA)
 
 

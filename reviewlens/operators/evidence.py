@@ -86,15 +86,17 @@ def review_evidence(reviews: DataFrame) -> DataFrame:
         "rating_positive_share", *[expr.alias(c) for c, expr in finished.items()])
 
 
-def join_taxonomy(evidence: DataFrame, taxonomy: DataFrame, join_key: str = "raw") -> DataFrame:
-    """Keep the products with a taxonomy row; the first row per name counts.
+def join_taxonomy(evidence: DataFrame, taxonomy: DataFrame, join_key: str = "raw", order: str | None = None) -> DataFrame:
+    """Keep the products with a taxonomy row; the first row per name in column ``order`` counts.
 
+    A table has no first row of its own: without ``order`` the smallest row is taken.
     ``raw`` joins on the name as written, ``clean`` on the grouping name.  Both
     sides hold products, not reviews; the join strategy is chosen from run-time sizes.
     """
     columns = ["cluster_id", "corrected_category", "product_family", "correction_reason"]
     row = F.struct("cluster_id", "corrected_category", "product_family", "correction_reason")
-    unique = taxonomy.groupBy("product_name").agg(F.min(row).alias("t")).select(
+    unique = taxonomy.groupBy("product_name").agg(
+        (F.min(row) if order is None else F.min_by(row, order)).alias("t")).select(
         F.col("product_name").alias("_name"), *[F.col(f"t.{c}") for c in columns])
     key = F.col("product_name") if join_key == "raw" else names.grouping_name(F.col("product_name"))
     return evidence.withColumn("_key", key).join(unique, F.col("_key") == F.col("_name")).drop("_key", "_name")

@@ -14,30 +14,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.functions.text import basic_clean, ngrams, raw_tokens, word_tokens
-from reviewlens.runtime import sized_broadcast
-
-MAX_BROADCAST_TOKENS = 1_000_000
+from reviewlens.runtime import materialise
 
 
 # --- token normalisation (stemming, lemmatising) ------------------------------
 
 def normalize_tokens(df: DataFrame, id_col: str, text_col: str, table: DataFrame, out: str,
-                     max_broadcast: int = MAX_BROADCAST_TOKENS) -> DataFrame:
+                     keep_underscore: bool = False) -> DataFrame:
     """Replace every token of the cleaned text by its normal form from ``table`` (token, normal).
 
-    Tokens without an entry stay.  The texts are partitioned by id once; explode,
-    lookup and re-assembly all keep that partitioning, so tokens are not shuffled
-    while the table is small enough to broadcast (its size is checked).
+    Tokens without an entry stay.  The table is written once and restricted to tokens that change; the join
+    strategy follows from its written size.  Only changes come back to the texts: per document a map
+    from position to normal form.
     """
-    unique = table.groupBy("token").agg(F.min("normal").alias("normal"))
-    spread = df.repartition(id_col)
-    tokens = F.split(basic_clean(F.col(text_col)), " ")
-    exploded = spread.select(id_col, F.posexplode(tokens).alias("pos", "token"))
-    looked = exploded.join(sized_broadcast(unique, max_broadcast), "token", "left").select(
-        id_col, F.struct("pos", F.coalesce("normal", "token").alias("token")).alias("t"))
-    texts = looked.groupBy(id_col).agg(F.array_sort(F.collect_list("t")).alias("t")).select(
-        id_col, F.array_join(F.transform("t", lambda x: x["token"]), " ").alias(out))
-    return spread.join(texts, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    unique = materialise(table.groupBy("token").agg(F.min("normal").alias("normal")).filter("token <> normal"))
+    tokens = F.split(basic_clean(F.col(text_col), keep_underscore), " ")
+    exploded = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
+    changes = exploded.join(unique, "token").groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "normal"))).alias("_changes"))
+    changed = F.transform(tokens, lambda t, i: F.coalesce(F.col("_changes")[i], t))
+    joined = df.join(changes, id_col, "left")
+    text = F.array_join(F.when(F.col("_changes").isNull(), tokens).otherwise(changed), " ")
+    return joined.withColumn(out, F.coalesce(text, F.lit(""))).drop("_changes")
 
 
 def distinct_tokens(df: DataFrame, text_col: str) -> DataFrame:
@@ -100,7 +98,8 @@ def vocabulary(term_stats: DataFrame, n_docs: Column | int, min_df: int = 1, max
         (F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * F.lit(max_df)))
     if max_features is not None:
         kept = kept.orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
-    return kept.withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
+    found = kept.withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).drop("n_docs")
+    return found if max_features is None else F.broadcast(found)  # at most max_features rows
 
 
 def stats_from_counts(counts: DataFrame) -> DataFrame:
@@ -122,16 +121,13 @@ def stats_from_rows(df: DataFrame, terms: str = "terms") -> DataFrame:
             .agg(F.sum("m.d").alias("df"), F.sum("m.t").alias("total")))
 
 
-def tfidf_long(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True,
-               vocab_rows: int | None = None) -> DataFrame:
+def tfidf_long(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
     """Unit-length TF-IDF weights as a long table (key, term, weight).
 
-    With ``vocab_rows`` (the feature limit) the vocabulary is known to be small and
-    is broadcast, so a term found in every document is never a join hot spot.
+    A vocabulary with a feature limit comes with a broadcast hint, so a term found in every document
+    is not a join hot spot; one without is joined by run-time sizes.
     """
     terms = vocab.select("term", "idf")
-    if vocab_rows is not None and vocab_rows <= MAX_BROADCAST_TOKENS:
-        terms = F.broadcast(terms)
     tf = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
     raw = counts.join(terms, "term").select(key, "term", (tf * F.col("idf")).alias("w"))
     # Partitioning by the document key serves the norm; the vocabulary bounds its rows.

@@ -65,18 +65,17 @@ def key_digest(keys: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def dedupe_reviews(reviews: DataFrame, keys: list[str] = REVIEW_KEYS, order: Column | None = None) -> DataFrame:
-    """Keep one row per key, the first in ``order`` when other columns matter.
+def dedupe_reviews(reviews: DataFrame, keys: list[str] = REVIEW_KEYS, *, order: Column) -> DataFrame:
+    """Keep one row per key, the first in ``order``, a unique whole number per row.
 
-    The key is grouped by its 256-bit digest, which keeps shuffle and sort keys
-    short for long texts.  The aggregate combines inside every task first, so a
-    text copied into a third of all rows leaves each task once.
+    Only digests and ordinals are grouped: the first ordinal of each 256-bit key digest is found by a
+    hash aggregate that combines inside every task, so a text copied into a third of all rows leaves each
+    task once.  The rows that lose, normally few, are then dropped by their ordinal; texts are not sorted.
     """
-    if order is None:
-        return reviews.dropDuplicates(keys)
-    row = F.struct(*[F.col(f"`{c}`") for c in reviews.columns])
-    first = reviews.groupBy(key_digest(keys).alias("_digest")).agg(F.min_by(row, order).alias("row"))
-    return first.select("row.*")
+    keyed = reviews.select(key_digest(keys).alias("_digest"), order.cast("long").alias("_order"))
+    first = keyed.groupBy("_digest").agg(F.min("_order").alias("_first"))
+    lost = keyed.join(first, "_digest").filter("_order > _first").select("_order")
+    return reviews.withColumn("_order", order.cast("long")).join(lost, "_order", "left_anti").drop("_order")
 
 
 def dedupe_audit(reviews: DataFrame, keys: list[str] = REVIEW_KEYS) -> DataFrame:
@@ -87,13 +86,13 @@ def dedupe_audit(reviews: DataFrame, keys: list[str] = REVIEW_KEYS) -> DataFrame
 
 
 def review_table(raw: DataFrame, require_name: bool = True, keep: tuple[str, ...] = (),
-                 order: Column | None = None, category_fallback: str = "column") -> DataFrame:
-    """Raw rows to labelled, filtered, de-duplicated reviews.
+                 *, order: Column, category_fallback: str = "column") -> DataFrame:
+    """Raw rows to labelled, filtered, de-duplicated reviews; ``order`` (a kept, unique column) says which copy stays.
 
     Without ``require_name`` a missing name stays missing, as a key of its own.
     """
     reviews = valid_reviews(to_reviews(raw, category_fallback, keep, require_name), require_name)
-    return label_reviews(dedupe_reviews(reviews, REVIEW_KEYS, order))
+    return label_reviews(dedupe_reviews(reviews, REVIEW_KEYS, order=order))
 
 
 def contradictions(scored: DataFrame) -> DataFrame:

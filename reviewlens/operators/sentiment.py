@@ -76,8 +76,13 @@ class Settings:
     boost_rounds: int = 80
     boost_depth: int = 4
     boost_rate: float = 0.1
-    iterations: int = 100
-    vectorizer: TextVectorizer = field(default_factory=lambda: TextVectorizer(min_df=2))
+    iterations: int = 1000
+    vectorizer: TextVectorizer = field(default_factory=lambda: TextVectorizer(min_df=2, max_features=15000))
+
+    def parameters(self) -> dict:
+        """The searched parameters, as they stand in the search table."""
+        return {"ngram_high": self.vectorizer.high, "min_df": self.vectorizer.min_df,
+                "max_features": self.vectorizer.max_features, "c": self.c, "balanced": self.balanced}
 
 
 def _class_rows(featured: DataFrame) -> dict[str, tuple[int, float]]:
@@ -222,14 +227,15 @@ def random_search(train_rows: DataFrame, candidates: list[Settings]) -> DataFram
               "cv_macro_f1 double")
 
 
-def tune(train_rows: DataFrame, test_rows: DataFrame, candidates: list[Settings]) -> tuple[SentimentModel, Settings, dict]:
-    """Search, refit the best setting on all training rows and measure it on the test rows."""
+def tune(train_rows: DataFrame, test_rows: DataFrame, candidates: list[Settings]
+         ) -> tuple[SentimentModel, Settings, dict, DataFrame]:
+    """Search, refit the best setting on all training rows and measure it on the test rows; also the search table."""
     searched = random_search(train_rows, candidates)
     best = metrics.best_setup(searched).first()
     setting = candidates[best["setup_rank"]]
     model = train(train_rows, setting)
     measured = metrics.result_columns(model.transform(test_rows)).first().asDict()
-    return model, setting, {"cv_macro_f1": best["cv_macro_f1"], **measured}
+    return model, setting, {"cv_macro_f1": best["cv_macro_f1"], **measured}, searched
 
 
 def extra_experiments(train_rows: DataFrame, test_rows: DataFrame, setting: Settings,
@@ -245,6 +251,8 @@ def extra_experiments(train_rows: DataFrame, test_rows: DataFrame, setting: Sett
     consistent = consistent_rows(original.transform(train_rows)).drop("prediction").persist()
     _, filtered = score(consistent)
     consistent.unpersist()
-    _, down = score(downsample(train_rows, "label", id_col).persist())
+    even = downsample(train_rows, "label", id_col).persist()
+    _, down = score(even)
+    even.unpersist()
     return spark.createDataFrame([("original_tuned", base), ("downsampling", down), ("filtered_label", filtered)],
                                  "experiment string, macro_f1 double")

@@ -11,6 +11,7 @@ from reviewlens.operators import cards, evidence, sentiment
 from reviewlens.operators.features import TextVectorizer, preprocess
 from reviewlens.operators.gallery import gallery_table
 from reviewlens.operators.images import add_aliases, image_lookup
+from reviewlens.runtime import materialise
 from reviewlens.sources import reports
 from reviewlens.sources.tables import load_or_build, read_cards, write_json, write_lines, write_table
 
@@ -26,10 +27,10 @@ def production_scores(reviews: DataFrame, id_col: str, lemmas: DataFrame | None
     ``in_sample`` trains on all rows and scores the same rows; otherwise every row is
     scored by a model that has not seen its fold.
     """
-    prepared = preprocess(reviews, "lemmatization", id_col, table=lemmas).persist()
+    prepared = materialise(preprocess(reviews, "lemmatization", id_col, table=lemmas))
     if not in_sample:
         parts = None
-        folded = sentiment.stratified_folds(prepared, "label", id_col, folds).persist()
+        folded = materialise(sentiment.stratified_folds(prepared, "label", id_col, folds))
         for fold in range(folds):
             model = sentiment.train(folded.filter(f"fold <> {fold}"), settings)
             part = sentiment.score_reviews(folded.filter(f"fold = {fold}"), model).drop("fold")
@@ -52,7 +53,7 @@ def run(spark: SparkSession, reviews: DataFrame, taxonomy: DataFrame, out: str,
         return evidence.product_evidence(scored, taxonomy)
 
     products = load_or_build(spark, f"{out}/evidence", build, rebuild)
-    existing = read_cards(spark, f"{out}/cards") if only_missing else None
+    existing = read_cards(spark, f"{out}/cards", missing_ok=True) if only_missing else None
     made = cards.build_cards(products, generate, sample, existing)
     write_json(made, f"{out}/cards", append=only_missing)
     every = read_cards(spark, f"{out}/cards")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators import metrics, sentiment
 from reviewlens.operators.features import preprocess
 from reviewlens.operators.reviews import contradiction_examples, contradiction_table
+from reviewlens.runtime import materialise
 from reviewlens.sources import reports
 from reviewlens.sources.tables import write_lines, write_table
 
@@ -20,27 +21,29 @@ def run(spark: SparkSession, reviews: DataFrame, out: str, id_col: str = "review
 
     ``reviews`` has a unique id, text and label.  ``settings`` overrides training settings of all models.
     """
-    train_rows, test_rows = sentiment.split_with_folds(reviews, id_col)
-    train_rows, test_rows = train_rows.persist(), test_rows.persist()
+    train_rows, test_rows = map(materialise, sentiment.split_with_folds(materialise(reviews), id_col))
     candidates = [sentiment.Settings(kind=m, **(settings or {})) for m in models]
     compared = sentiment.compare_models(train_rows, test_rows, list(preprocessing), candidates, id_col, tables)
     write_table(compared, f"{out}/baseline_results")
 
-    tuned, best = [], None
+    tuned, best, searched = [], None, None
     for row in metrics.leaderboard(compared, tuned_setups).collect():
         method = row["preprocessing"]
         table = (tables or {}).get(method)
-        prepared = preprocess(train_rows, method, id_col, table=table).persist()
-        held = preprocess(test_rows, method, id_col, table=table).persist()
-        model, setting, values = sentiment.tune(prepared, held, sentiment.sample_settings(n=search))
-        tuned.append({"preprocessing": method, "model": setting.kind, **values})
+        prepared = materialise(preprocess(train_rows, method, id_col, table=table))
+        held = materialise(preprocess(test_rows, method, id_col, table=table))
+        model, setting, values, found = sentiment.tune(prepared, held, sentiment.sample_settings(n=search))
+        found = found.withColumn("preprocessing", F.lit(method))
+        searched = found if searched is None else searched.unionByName(found)
+        tuned.append({"preprocessing": method, "model": setting.kind, **setting.parameters(), **values})
         if best is None or values["cv_macro_f1"] > best[0]:
             best = (values["cv_macro_f1"], model, setting, prepared, held)
     write_table(spark.createDataFrame(tuned), f"{out}/tuned_results")
+    write_table(searched, f"{out}/search_results")
 
     _, model, setting, prepared, held = best
     model.save(spark, f"{out}/model")
-    scored = sentiment.score_reviews(held, model).persist()
+    scored = materialise(sentiment.score_reviews(held, model))
     results = {
         "class_report": metrics.class_report(scored, prediction="predicted_sentiment"),
         "confusion": metrics.confusion_percent(scored, prediction="predicted_sentiment"),

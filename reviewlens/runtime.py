@@ -1,4 +1,4 @@
-"""Session helpers: tables in the shared checkpoint folder and size-checked broadcasts."""
+"""Session helpers: tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -27,6 +26,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def tables_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{ensure_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete this application's tables; call it when results that still read them have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage.
 
@@ -34,14 +44,6 @@ def materialise(df: DataFrame) -> DataFrame:
     carries no optimizer constraints of the old plan, which double with every pass of
     a loop, and it is read with its true size and with column pruning.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when ``df`` has been checked to hold at most ``max_rows`` rows.
-
-    A larger side stays unhinted: it joins by shuffle, with skew handled at run time.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

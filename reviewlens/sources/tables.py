@@ -45,7 +45,15 @@ def write_lines(lines: DataFrame, order: list, path: str) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
-def read_cards(spark: SparkSession, path: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def read_cards(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """Saved cards; with ``missing_ok`` no cards where nothing has been saved yet."""
+    if missing_ok and not exists(spark, path):
+        return spark.createDataFrame([], CARD_SCHEMA)
     return spark.read.schema(CARD_SCHEMA).json(path)
 
 

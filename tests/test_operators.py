@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.operators import cards, clustering, evidence, features, images, ordering, reviews, sentiment, splits
 from reviewlens.sources.reviews import read_image_rows, read_reviews
-from reviewlens.sources.tables import load_or_build
+from reviewlens.sources.tables import load_or_build, read_cards
 
 
 def plan(df):
@@ -34,7 +34,7 @@ def test_projection_works_on_a_stream(spark, tmp_path):
 def test_dedupe_keeps_first_row_and_null_keys(spark):
     rows = [(3, "a", "t", 1.0), (1, "a", "t", 1.0), (2, None, "t", 1.0), (4, None, "t", 1.0), (5, "", "t", 1.0)]
     df = spark.createDataFrame(rows, "id int, product_name string, review_text string, rating double")
-    got = reviews.dedupe_reviews(df, ["product_name", "review_text", "rating"], F.col("id"))
+    got = reviews.dedupe_reviews(df, ["product_name", "review_text", "rating"], order=F.col("id"))
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 5]
     assert reviews.dedupe_audit(df, ["product_name", "review_text", "rating"]).first()["rows_removed"] == 2
 
@@ -94,7 +94,7 @@ def test_vectors_equal_long_weights(spark):
     vectors = {r["id"]: r["features"] for r in vectorizer.transform(df, "text").collect()}
     counts = features.term_counts(features.with_terms(df, "text"), "id")
     vocab = features.vocabulary(features.stats_from_counts(counts), 3)
-    for r in features.tfidf_long(counts, vocab, "id", vocab_rows=100).collect():
+    for r in features.tfidf_long(counts, vocab, "id").collect():
         assert abs(vectors[r["id"]][vectorizer.terms.index(r["term"])] - r["weight"]) < 1e-12
     assert vectors[3].numNonzeros() == 0 and abs(vectors[1].norm(2) - 1) < 1e-12
 
@@ -104,8 +104,8 @@ def test_token_normalisation(spark):
     table = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, normal string")
     got = features.preprocess(df, "lemmatization", "id", table=table)
     assert {r["id"]: r["prepared"] for r in got.collect()} == {1: "cat and dog", 2: ""}
-    unbroadcast = features.normalize_tokens(df, "id", "text", table, "o", max_broadcast=1)
-    assert {r["id"]: r["o"] for r in unbroadcast.collect()} == {1: "cat and dog", 2: ""}
+    tokens = {r["token"] for r in features.distinct_tokens(df, "text").collect()}
+    assert tokens == {"cats", "and", "dogs"}
 
 
 def test_model_roundtrip_on_separable_text(spark, tmp_path):
@@ -206,3 +206,48 @@ def test_load_or_build_reuses_the_saved_table(spark, tmp_path):
     assert len(calls) == 1
     load_or_build(spark, path, build, rebuild=True)
     assert len(calls) == 2
+
+
+def test_first_taxonomy_row_counts(spark):
+    products = spark.createDataFrame([("a",), ("b",)], "product_name string")
+    rows = [("a", 9, "B", "f", "r", 1), ("a", 1, "A", "f", "r", 2), ("b", 2, "C", "f", "r", 3)]
+    taxonomy = spark.createDataFrame(rows, "product_name string, cluster_id int, corrected_category string, "
+                                           "product_family string, correction_reason string, ord int")
+    got = {r["product_name"]: r["cluster_id"] for r in evidence.join_taxonomy(products, taxonomy, order="ord").collect()}
+    assert got == {"a": 9, "b": 2}
+
+
+def test_dedupe_does_not_sort_texts(spark):
+    df = spark.createDataFrame([(1, "a", "long text", "x"), (2, "a", "long text", "y"), (3, "b", "other", "x")],
+                               "id long, product_name string, review_text string, category_text string")
+    got = reviews.dedupe_reviews(df, ["product_name", "review_text"], order=F.col("id"))
+    assert "SortAggregate" not in plan(got)
+    assert sorted((r["id"], r["category_text"]) for r in got.collect()) == [(1, "x"), (3, "x")]
+
+
+def test_one_failing_prompt_fails_alone(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(8)], "id int, prompt string").coalesce(1)
+
+    def generate(prompts):
+        if (prompts == "p5").any():
+            raise ValueError("no answer")
+        return prompts.str.upper()
+
+    got = {r["id"]: r["completion"] for r in cards.complete(df, generate, ["id"]).collect()}
+    assert got[5].startswith(cards.FAILED) and all(got[i] == f"P{i}" for i in range(8) if i != 5)
+
+
+def test_cards_of_a_first_run(spark, tmp_path):
+    assert read_cards(spark, f"{tmp_path}/none", missing_ok=True).count() == 0
+
+
+def test_scan_has_a_row_for_every_k(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 == 0 else [0.0, 1.0] if i % 3 == 1 else [0.0, 0.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").persist()
+    scan = {r["k"]: r for r in clustering.scan_kmeans(df, [2, 3, 4], restarts=2).collect()}
+    assert sorted(scan) == [2, 3, 4] and scan[4]["silhouette_score"] is None and scan[3]["clusters"] == 2
+    members, merges = clustering.merge_average_linkage(df, "id")
+    labels = clustering.cut_merges(members, merges, [2]).collect()
+    assert len(labels) == 9 and sum(r["cluster_id"] is None for r in labels) == 3
+    assert clustering.scan_hierarchical(df, "id", [2]).first()["silhouette_score"] == pytest.approx(1.0)
+    df.unpersist()
