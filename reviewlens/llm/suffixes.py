@@ -55,13 +55,14 @@ def suffix_array(symbols: list[int]) -> list[int]:
         end[low] = high
     before = [-1] * n  # the nearest earlier suffix of a lower group
     high = n
-    while high > 0:
+    # The last symbol's group is below all others and index -1 means it, which ends every walk along the pointers.
+    while high > 1:
         low = start[sa[high - 1]]
         if high - low == 1:
             # a group of one: its predecessor moves to the end of its own group, alone
             i = sa[low]
             j = i - 1
-            while j >= 0 and start[j] >= low:
+            while start[j] >= low:
                 j = before[j]
             before[i] = j
             if j >= 0:
@@ -80,7 +81,7 @@ def suffix_array(symbols: list[int]) -> list[int]:
         counts: dict[int, int] = {}
         for i in sorted(sa[low:high]):
             j = i - 1
-            while j >= 0 and start[j] >= low:
+            while start[j] >= low:
                 j = before[j]
             before[i] = j
             if j >= 0:
@@ -117,7 +118,7 @@ def suffix_array(symbols: list[int]) -> list[int]:
     done[n - 1] = True
     for at in range(n):
         j = out[at] - 1
-        while j >= 0 and not done[j]:
+        while not done[j]:
             group = start[j]
             out[free[group]] = j
             free[group] += 1
