@@ -15,7 +15,7 @@ from reviewlens.catalog.views import Views
 HEADLINE = ["trust_rank", "product_evidence", "themes", "dedupe_reviews", "dedupe_audit", "weak_label_dist",
             "category_medians", "template_cards", "parse_cards", "image_loose", "gallery_recommended",
             "class_report", "split_counts", "basic_clean", "vocabulary", "tfidf_weights", "cluster_keywords",
-            "lemmatized_text", "elbow", "silhouette"]
+            "lemmatized_text", "elbow", "silhouette", "svm_metrics", "svd_features", "product_images", "kmeans_scan"]
 
 
 def main() -> None:

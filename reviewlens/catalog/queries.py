@@ -7,6 +7,7 @@ without it (learned models, iterative clustering) are covered by property tests.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -688,12 +689,12 @@ def best_k(v):
 
 @query()
 def kmeans_scan(v):
-    return clustering.scan_kmeans(vectors_of(v).drop("cluster_id").persist(), [2, 3, 4, 5], restarts=2)
+    return clustering.scan_kmeans(materialise(vectors_of(v).drop("cluster_id")), list(range(2, 21)))
 
 
 @query()
 def hier_scan(v):
-    return clustering.scan_hierarchical(vectors_of(v).drop("cluster_id").persist(), "vec_id", [2, 3, 4, 5])
+    return clustering.scan_hierarchical(materialise(vectors_of(v).drop("cluster_id")), "vec_id", list(range(2, 21)))
 
 
 @query()
@@ -706,8 +707,9 @@ def hier_labels(v):
 def svd_features(v):
     products = materialise(evidence.with_identity(clustered_products(v).select("product_name")))
     weights, terms = cluster_plan.scenario_weights(products, F.col("after_text"))
-    vectors = features.vectors_from_long(materialise(weights), "product_name", terms).persist()
-    return features.svd_features(vectors, "product_name").select("product_name", F.size("vector").alias("axes"))
+    vectors = materialise(features.vectors_from_long(materialise(weights), "product_name", terms))
+    return features.svd_features(vectors, "product_name").select(
+        "product_name", F.size("vector").alias("axes"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("squared"))
 
 
 @query()
@@ -725,36 +727,39 @@ def pca_coordinates(v):
 @query()
 def cluster_scenarios(v):
     products = materialise(evidence.with_identity(clustered_products(v).drop("cluster_id")))
-    weights, terms = cluster_plan.scenario_weights(products, F.col("after_text"))
-    out = cluster_plan.run_scenario(products, weights, terms, "after_canonical_no_reviews", [4, 6], restarts=1)
-    return clustering.scenario_comparison([out["scan"]])
+    reviews_of = materialise(text_reviews(v).filter(F.length("product_name") > 0).withColumn(
+        "original_product_name", F.col("product_name")))
+    known = reviews_of.select("product_name").distinct()
+    scans = []
+    for rows, text, name, of in ((reviews_of, evidence.noisy_text(), "before_with_reviews", products.join(known, "product_name", "left_semi")),
+                                 (products, F.col("after_text"), "after_canonical_no_reviews", products)):
+        weights, terms = cluster_plan.scenario_weights(rows, text)
+        scans.append(cluster_plan.run_scenario(of, weights, terms, name, [2, 4, 6, 8], restarts=2)["scan"])
+    return clustering.scenario_comparison(scans)
 
 
 # --- classifiers ----------------------------------------------------------------------------
 
-_SMALL = features.TextVectorizer(low=1, high=1, min_df=2, max_features=3000)
-
-
 def split_reviews(v: Views) -> tuple[DataFrame, DataFrame]:
     """Training and test reviews, written once and read by every fit."""
     train_rows, test_rows = sentiment.split_with_folds(materialise(prepared_reviews(v)), "doc_id")
-    return materialise(train_rows).persist(), materialise(test_rows).persist()
+    return materialise(train_rows), materialise(test_rows)
 
 
 def _trained(v: Views, **settings) -> DataFrame:
     train_rows, test_rows = split_reviews(v)
-    model = sentiment.train(train_rows, sentiment.Settings(vectorizer=_SMALL, **settings))
+    model = sentiment.train(train_rows, sentiment.Settings(**settings))
     return metrics.result_columns(model.transform(test_rows))
 
 
 @query()
 def svm_metrics(v):
-    return _trained(v, kind="Linear SVM", iterations=10)
+    return _trained(v, kind="Linear SVM")
 
 
 @query()
 def logistic_metrics(v):
-    return _trained(v, kind="Logistic Regression", iterations=10)
+    return _trained(v, kind="Logistic Regression")
 
 
 @query()
@@ -764,45 +769,42 @@ def naive_bayes_metrics(v):
 
 @query()
 def forest_metrics(v):
-    return _trained(v, kind="Random Forest", trees=10, tree_depth=10)
+    return _trained(v, kind="Random Forest")
 
 
 @query()
 def boosted_metrics(v):
-    return _trained(v, kind="Boosted Trees", boost_rounds=3)
+    return _trained(v, kind="Boosted Trees")
 
 
 @query()
 def model_grid(v):
     train_rows, test_rows = split_reviews(v)
-    settings = [sentiment.Settings(kind=k, vectorizer=_SMALL, iterations=5) for k in ["Linear SVM", "Naive Bayes"]]
-    return sentiment.compare_models(train_rows.drop("prepared"), test_rows.drop("prepared"), ["basic_clean"], settings,
-                                    "doc_id").drop("vectorizer")
+    settings = [sentiment.Settings(kind=k, iterations=100) for k in ["Linear SVM", "Logistic Regression", "Naive Bayes"]]
+    return sentiment.compare_models(train_rows.drop("prepared"), test_rows.drop("prepared"), ["raw_tokens", "basic_clean"],
+                                    settings, "doc_id").drop("vectorizer")
 
 
 @query()
 def random_search(v):
     train_rows, _ = split_reviews(v)
-    space = {**sentiment.SEARCH_SPACE, "high": [1], "max_features": [2000, 3000]}
-    candidates = sentiment.sample_settings(space, n=2)
+    candidates = sentiment.sample_settings(n=4)
     for c in candidates:
-        c.iterations = 3
+        c.iterations = 50
     return sentiment.random_search(train_rows, candidates)
 
 
 @query()
 def extra_experiments(v):
     train_rows, test_rows = split_reviews(v)
-    setting = sentiment.Settings(vectorizer=_SMALL, iterations=5)
-    return sentiment.extra_experiments(train_rows, test_rows, setting, "doc_id")
+    return sentiment.extra_experiments(train_rows, test_rows, sentiment.Settings(iterations=200), "doc_id")
 
 
 @query()
 def production_scores(v):
     rows = text_reviews(v)
     lemmas = features.plural_lemmas(features.distinct_tokens(rows, "text"))
-    settings = sentiment.Settings(vectorizer=features.TextVectorizer(min_df=1, max_features=5000), iterations=5)
-    scored = card_plan.production_scores(rows, "doc_id", lemmas, settings=settings)
+    scored = card_plan.production_scores(rows, "doc_id", lemmas, settings=replace(card_plan.PRODUCTION, iterations=200))
     return scored.select("doc_id", "label", "predicted_sentiment")
 
 
