@@ -13,9 +13,11 @@ longest increasing sequence of positions.
 At 0.8 a pair misses one sketch with a chance of about 1 - 0.8**3 and all 20 with less than 1e-6.
 
 Large groups: texts of equal words are one entry.  Entries of a bucket are first compared with one head, and what
-matches it is joined; only members that are still in different components are compared with further heads and, in
-the last round, with each other.  So a group of thousands of copies costs a comparison each and not one per pair,
-and no candidate pair is left out.
+matches it is joined; only members that are still in different components are compared with further heads.  What is
+left after that meets in blocks of ``BLOCK`` members: a task compares two blocks by the parity signatures of their
+shingles (2048 bits; the distance of two signatures is at most the number of shingles that only one text has, so a
+larger distance rules a pair out) and returns only pairs that may still match.  So a group of thousands of copies
+costs a comparison each, pairs that cannot match never become rows, and no candidate pair is left out.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ TAKEN = 3
 SKETCHES = 20
 LEAST = 0.8
 STAR_ROUNDS = 3
+BLOCK = 1024
+PARITY_BITS = 2048
 _SEEDS = texts.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -86,6 +91,12 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """PARITY_BITS bits, each the parity of the number of labelled shingles that hash to it."""
+    odd = np.bincount((shingles >> np.uint64(20) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common sequence of two labelled shingle sequences within the band that LEAST allows;
     0 as soon as it cannot reach LEAST."""
@@ -116,13 +127,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in texts.chunks(batches):
         words, first = word_hashes(part)
-        contents, made = [], []
+        contents, made, parities, sizes = [], [], [], []
         for low, high in zip(first[:-1], first[1:]):
             own = words[low:high]
             contents.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-            made.append(sketches(labelled_shingles(own)).view(np.int64) if len(own) else None)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(contents, pa.binary()),
-                                          pa.array(made, pa.list_(pa.int64()))], ["doc_id", "content", "sketches"])
+            shingles = labelled_shingles(own)
+            made.append(sketches(shingles).view(np.int64) if len(own) else None)
+            parities.append(parity(shingles))
+            sizes.append(len(shingles))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(contents, pa.binary()), pa.array(made, pa.list_(pa.int64())),
+             pa.array(parities, pa.binary()), pa.array(sizes, pa.int32())], ["doc_id", "content", "sketches", "parity", "size"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +168,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     of equal texts, null if there is none, and is kept.  An empty table gives no rows; only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = materialise(rows.mapInArrow(_describe, "doc_id long, content binary, sketches array<long>"))
+    described = materialise(rows.mapInArrow(
+        _describe, "doc_id long, content binary, sketches array<long>, parity binary, size int"))
     entries = described.where("content is not null and doc_id is not null").groupBy("content").agg(
-        F.min("doc_id").alias("node"), F.first("sketches").alias("sketches"))
+        F.min("doc_id").alias("node"), F.first("sketches").alias("sketches"), F.first("parity").alias("parity"), F.first("size").alias("size"))
     nodes = materialise(entries)
     posted = nodes.select("node", F.explode("sketches").alias("bucket"))
     shared = posted.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
@@ -167,7 +183,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     found, tested = None, None
     for turn in range(STAR_ROUNDS + 1):
-        pairs = _pairs(posted, found, turn)
+        pairs = _head_pairs(posted, found, turn) if turn < STAR_ROUNDS else _rest_pairs(posted, found, nodes)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
@@ -190,24 +206,58 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", own.alias("class_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _pairs(posted: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """Candidate pairs (a < b) of this round that are not in one component yet."""
-    members = posted.withColumn("component", F.col("node"))
-    if found is not None:
-        members = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
-        mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        members = members.join(mixed.select("bucket"), "bucket")
-    if turn < STAR_ROUNDS:
-        place = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        heads = members.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), F.col("node"), F.col("component"))).alias("head"))
-        pairs = members.join(heads, "bucket").where("component <> head.component").select(
-            F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
-    else:
-        one, two = members.alias("x"), members.alias("y")
-        pairs = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node"))
-                         & (F.col("x.component") != F.col("y.component"))).select(
-            F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return pairs.distinct()
+def _members(posted: DataFrame, found: DataFrame | None) -> DataFrame:
+    """bucket, node and component of the buckets that hold more than one component."""
+    if found is None:
+        return posted.withColumn("component", F.col("node"))
+    members = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return members.join(mixed.select("bucket"), "bucket")
+
+
+def _head_pairs(posted: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (a < b) of this round's head of each bucket with its members of other components."""
+    members = _members(posted, found)
+    place = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    heads = members.groupBy("bucket").agg(F.min(F.struct(place.alias("place"), F.col("node"), F.col("component"))).alias("head"))
+    return members.join(heads, "bucket").where("component <> head.component").select(
+        F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
+def _rest_pairs(posted: DataFrame, found: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of members of different components that the signatures do not rule out."""
+    members = materialise(_members(posted, found))
+    cuts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    paired = (members.join(nodes.drop("content"), "node").join(cuts, "bucket")
+              .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
+    return (paired.select("bucket", "low", "high", "own", "node", "component", "sketches", "parity", "size")
+            .groupBy("bucket", "low", "high").applyInPandas(_possible, "a long, b long"))
+
+
+def _possible(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks (or within one) that may match and whose first common sketch is this bucket."""
+    bucket, low, high = (int(group[c].iloc[0]) for c in ("bucket", "low", "high"))
+    sides = []
+    for block in (low, high):
+        side = group[group["own"] == block]
+        sides.append((side["node"].to_numpy(), side["component"].to_numpy(), side["size"].to_numpy(),
+                      np.frombuffer(b"".join(side["parity"]), np.uint64).reshape(len(side), -1),
+                      np.array(side["sketches"].to_list(), np.int64).reshape(len(side), -1)))
+    (na, ca, za, pa_, sa), (nb, cb, zb, pb, sb) = sides
+    left, right = [], []
+    for i in range(len(na)):  # a row against a whole block at a time
+        both = za[i] + zb
+        near = np.bitwise_count(pa_[i] ^ pb).sum(axis=1) * (1 + LEAST) <= both * (1 - LEAST) + 1e-6
+        j = np.flatnonzero(near & (ca[i] != cb) & ((na[i] < nb) if low == high else True))
+        if len(j):
+            common = sa[i] == sb[j]
+            j = j[sb[j, common.argmax(axis=1)] == bucket]
+            left.append(np.minimum(na[i], nb[j]))
+            right.append(np.maximum(na[i], nb[j]))
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pd.DataFrame({"a": join(left), "b": join(right)})
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

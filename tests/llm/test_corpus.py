@@ -170,7 +170,10 @@ def test_near_copies_on_awkward_rows(docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 3, 4, 5, 6, 9, 10, 11, 13, 14, 15, 16, 17, 18]
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block, rounds", [(1024, 3), (16, 0)])
+def test_large_group_of_near_copies(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(ordered_minhash, "BLOCK", block)
+    monkeypatch.setattr(ordered_minhash, "STAR_ROUNDS", rounds)
     rng = random.Random(8)
     base = words(rng, 200).split()
     rows = []
