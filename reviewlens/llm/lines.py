@@ -9,20 +9,25 @@ set of Jaccard similarity 0.8 or more; the earliest stays.
    all lines leaves each task once).
 3. Prefix filter: entries that match share one of their rarest ``size/5 + 1`` words.  The join on such a word also
    applies the length filter, the positional filter and a symmetric-difference bound on 64-bit parity signatures,
-   all of which are necessary conditions.
-4. Pairs of entries are verified by the Jaccard similarity of the words themselves.
+   all of which are necessary conditions.  An entry that may match the earliest entry of a list (its head) is compared
+   with that one only, so that a family of thousands of variants costs a comparison each and not one per pair.
+4. Pairs of entries are verified by the Jaccard similarity of the words themselves.  Entries that no pair has removed
+   although one was put off in step 3 are compared with all earlier entries of their lists.
 5. Lines that are a later copy, or that match an earlier entry, are taken out of their texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.runtime import materialise
 
 SLOTS = 1 << 16
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7F]+"
+#: A place: document, line, and a tie-break that is 0 unless rows with different texts share a doc_id.
+PLACE = ["doc", "line", "tie"]
+FIRST = -(1 << 63)
 
 
 def words_of(line: Column) -> Column:
@@ -56,56 +61,89 @@ def _lines(texts: DataFrame, rarity: bytes) -> DataFrame:
         "doc_id", "text_hash", "line_no", F.xxhash64("codes").alias("entry"), F.size("codes").alias("size"),
         F.aggregate("codes", F.lit(0).cast("long"),
                     lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))).alias("signature"),
-        F.slice("codes", F.lit(1), F.floor(F.size("codes") / 5).cast("int") + 1).alias("prefix"))
+        # 32 bits suffice to meet on: the filters and the verification follow
+        F.transform(F.slice("codes", F.lit(1), F.floor(F.size("codes") / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"))
 
 
-def _candidates(entries: DataFrame) -> DataFrame:
-    """Pairs of entries (a < b) that pass the prefix, length, positional and signature filters."""
+def _before(a: str, b: str) -> Column:
+    return F.struct(*[F.col(f"{a}.{c}") for c in PLACE]) < F.struct(*[F.col(f"{b}.{c}") for c in PLACE])
+
+
+def _may_match(size: Column, at: Column, signature: Column, size2: Column, at2: Column, signature2: Column) -> Column:
+    """Necessary conditions for two entries with a common prefix word: length, position, symmetric difference."""
+    both = size + size2
+    return ((5 * F.least(size, size2) >= 4 * F.greatest(size, size2)) & (9 * F.least(size - at, size2 - at2) >= 4 * both)
+            & (9 * F.bit_count(signature.bitwiseXOR(signature2)) <= both))
+
+
+def _posted(entries: DataFrame) -> DataFrame:
     # no other set of fewer than four words reaches the similarity, but its own, which is the same entry
-    posted = entries.where("size >= 4").select("entry", "size", "signature", F.posexplode("prefix").alias("at", "code"))
-    a, b = posted.alias("a"), posted.alias("b")
-    both = F.col("a.size") + F.col("b.size")
-    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    return a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.entry") < F.col("b.entry"))
-                  & (5 * F.least("a.size", "b.size") >= 4 * F.greatest("a.size", "b.size"))
-                  & (9 * rest >= 4 * both)
-                  & (9 * F.bit_count(F.col("a.signature").bitwiseXOR(F.col("b.signature"))) <= both)).select(
-        F.col("a.entry").alias("one"), F.col("b.entry").alias("two")).distinct()
+    return entries.where("size >= 4 and signature is not null").select(*PLACE, "size", "signature", F.posexplode("prefix").alias("at", "code"))
+
+
+def _pairs(a: DataFrame, b: DataFrame, more: Column | None = None) -> DataFrame:
+    """one (earlier) and two (later): places that share a prefix word and may match."""
+    condition = (F.col("a.code") == F.col("b.code")) & _before("a", "b") & _may_match(
+        *[F.col(f"{x}.{c}") for x in "ab" for c in ("size", "at", "signature")])
+    joined = a.alias("a").join(b.alias("b"), condition if more is None else condition & more)
+    return joined.select(F.struct(*[F.col(f"a.{c}") for c in PLACE]).alias("one"),
+                         F.struct(*[F.col(f"b.{c}") for c in PLACE]).alias("two")).distinct()
+
+
+def _first_pairs(posted: DataFrame) -> DataFrame:
+    """Candidates, where what may match its list's head meets the head only."""
+    # column by column, so that both sides of the join read one and the same exchange
+    order = Window.partitionBy("code").orderBy(*PLACE)
+    near = posted.withColumns({f"head_{c}": F.first(c).over(order) for c in [*PLACE, "size", "at", "signature"]})
+    near = near.withColumn("near", _may_match(*[F.col(f"{side}{c}") for side in ("head_", "") for c in ("size", "at", "signature")]))
+    is_head = F.struct(*[F.col(f"a.{c}") for c in PLACE]) == F.struct(*[F.col(f"b.head_{c}") for c in PLACE])
+    return _pairs(posted, near, ~F.col("b.near") | is_head)
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ok: the words of both reach the similarity and ``two`` stands later."""
+    wanted = materialise(pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct().select("p.*").groupBy("doc", "tie").agg(
+        F.collect_set("line").alias("wanted"), F.count("*").alias("n")))
+    conf, key = texts.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = conf.get(key)
+    conf.set(key, "0")  # documents without a wanted line are best dropped before the shuffle
+    try:
+        words = materialise(texts.join(wanted.where("n > 0"), ["doc", "tie"]).select(
+            "doc", "tie", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line")).select(
+            F.struct(*PLACE).alias("place"), words_of(F.get("all", F.col("line"))).alias("words")).dropDuplicates(["place"]))
+    finally:
+        conf.set(key, before)
+    joined = (pairs.join(words.select(F.col("place").alias("one"), F.col("words").alias("words1")), "one")
+              .join(words.select(F.col("place").alias("two"), F.col("words").alias("words2")), "two"))
+    same = F.size(F.array_intersect("words1", "words2"))
+    return materialise(joined.select("one", "two", (
+        (9 * same >= 4 * (F.size("words1") + F.size("words2")))
+        & (F.struct("one.doc", "one.line") < F.struct("two.doc", "two.line"))).alias("ok")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and the sorted line numbers (from 0) that go; documents that lose nothing are left out."""
     texts = _documents(docs)
     lines = materialise(_lines(texts, _rarity(texts)))
-    entries = lines.groupBy("entry").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("place"), F.first("size").alias("size"),
-        F.first("signature").alias("signature"), F.first("prefix").alias("prefix"))
-    pairs = materialise(_candidates(entries))
-    places = lines.groupBy("entry").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("place"))
-    met = materialise(pairs.select(F.explode(F.array("one", "two")).alias("entry")).distinct().join(places, "entry"))
-    # The words of the entries in question, from the lines where they first stand.
-    wanted = met.select("entry", F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"),
-                        F.col("place.line_no").alias("line_no")).groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("line_no", "entry")).alias("wanted"))
-    sources = texts.dropDuplicates(["doc_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
-    words = materialise(
-        sources.alias("s").join(wanted.alias("w"), F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))
-                                & (F.col("s.text_hash") == F.col("w.text_hash")))
-        .select(F.split("s.text", "\n").alias("all"), F.explode("w.wanted").alias("x"))
-        .select(F.col("x.entry").alias("entry"), words_of(F.get("all", F.col("x.line_no"))).alias("words")))
-    whole = words.join(met.select("entry", F.struct("place.doc_id", "place.line_no").alias("place")), "entry")
-    one = whole.select(F.col("entry").alias("one"), F.col("words").alias("words1"), F.col("place").alias("place1"))
-    two = whole.select(F.col("entry").alias("two"), F.col("words").alias("words2"), F.col("place").alias("place2"))
-    same = F.size(F.array_intersect("words1", "words2"))
-    later = (pairs.join(one, "one").join(two, "two")
-             .where(9 * same >= 4 * (F.size("words1") + F.size("words2")))
-             .select(F.when(F.col("place1") < F.col("place2"), F.col("two")).when(F.col("place2") < F.col("place1"), F.col("one")).alias("entry"))
-             .where("entry is not null").distinct().withColumn("near", F.lit(True)))
-    verdict = places.join(later, "entry", "left").select(
-        "entry", F.struct("place.doc_id", "place.line_no").alias("place"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(verdict, "entry").where(F.col("near") | (F.struct("doc_id", "line_no") > F.col("place")))
-    return materialise(gone.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set("line_no")).alias("removed")))
+    repeated = lines.select("doc_id", "text_hash").distinct().groupBy("doc_id").count().where("count > 1")
+    tie = F.lit(0).cast("long") if repeated.isEmpty() else F.col("text_hash")
+    doc = F.coalesce("doc_id", F.lit(FIRST).cast("long"))
+    texts = texts.select(doc.alias("doc"), "text", F.xxhash64("text").alias("text_hash")).select("doc", "text", tie.alias("tie"))
+    entries = materialise(lines.groupBy("entry").agg(
+        F.min(F.struct(doc.alias("doc"), F.col("line_no").alias("line"), tie.alias("tie"))).alias("place"),
+        F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix")).select(
+        "entry", "place.*", "size", "signature", "prefix"))
+    posted = _posted(entries)
+    tested = _verified(texts, materialise(_first_pairs(posted)))
+    gone = tested.where("ok").select("two").distinct()
+    put_off = materialise(tested.where("not ok").select("two").distinct().join(gone, "two", "left_anti").select("two.*"))
+    if not put_off.isEmpty():
+        pairs = _pairs(posted, posted.join(put_off, PLACE, "left_semi")).join(tested.select("one", "two"), ["one", "two"], "left_anti")
+        gone = gone.union(_verified(texts, materialise(pairs)).where("ok").select("two")).distinct()
+    near = gone.select("two.*").withColumn("near", F.lit(True))
+    verdict = entries.join(near, PLACE, "left").select("entry", "doc", "line", F.coalesce("near", F.lit(False)).alias("near"))
+    lost = lines.join(verdict, "entry").where(F.col("near") | (F.struct(doc, F.col("line_no")) > F.struct("doc", "line")))
+    return materialise(lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
 
 
 def _with_removed(docs: DataFrame) -> DataFrame:
