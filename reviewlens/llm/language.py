@@ -12,6 +12,7 @@ what tasks get; its size does not depend on the input.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,14 +91,29 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(shares, pa.binary())], ["lang", "keys", "shares"])
 
 
+def _enough(counts: list[int], rows: int) -> float:
+    """The place below which about ``rows`` rows lie, as each language's places are spread evenly up to its count."""
+    low, left = 0.0, float(rows)
+    counts = sorted(counts)
+    for i, count in enumerate(counts):
+        step = (count - low) * (len(counts) - i)
+        if step >= left:
+            return low + left / (len(counts) - i)
+        low, left = float(count), left - step
+    return math.inf
+
+
 def _sample(rows: DataFrame, size: int):
     """(lang, subwords, shares) of a bounded sample.  A row's place in the draw is a hash spread over its
     language's count, so that a rare language is taken whole before a frequent one is."""
     rows = rows.select(F.col("lang").cast("string"), F.col("text").cast("string"), "doc_id").where(
         "lang is not null and text is not null")
-    counts = F.broadcast(rows.groupBy("lang").count())  # one row per language
+    counts = rows.groupBy("lang").count().collect()  # one row per language
     spread = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    drawn = (rows.join(counts, "lang").withColumn("place", spread * F.col("count"))
+    by_language = rows.sparkSession.createDataFrame(counts, "lang string, count long")
+    # no task hands over more than its share of about twice the sample, however many tasks there are
+    drawn = (rows.join(F.broadcast(by_language), "lang").withColumn("place", spread * F.col("count"))
+             .where(F.col("place") <= _enough([r["count"] for r in counts], 2 * size))
              .orderBy("place", "lang", "text").limit(size).select("lang", "text"))
     made = drawn.mapInArrow(_features, "lang string, keys binary, shares binary").collect()
     return sorted((r["lang"], bytes(r["keys"]), bytes(r["shares"])) for r in made if len(r["keys"]))
