@@ -32,29 +32,33 @@ FIRST = -(1 << 63)
 
 def words_of(line: Column) -> Column:
     """Distinct lower-cased words; punctuation and white space of ASCII separate them."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), SEPARATORS), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), SEPARATORS), ""))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _rarity(texts: DataFrame) -> bytes:
-    """One byte per slot, larger for more words: four times the binary logarithm of the slot's word count."""
+def _slot(word_hash: Column) -> Column:
+    return word_hash.bitwiseAND(SLOTS - 1).cast("int")
+
+
+def _rarity(texts: DataFrame) -> Column:
+    """One number per slot, larger for more words: four times the binary logarithm of the slot's word count, in the top byte."""
     slots = texts.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("word")).select(
-        F.pmod(F.xxhash64("word"), F.lit(SLOTS)).alias("slot")).groupBy("slot").agg(
+        _slot(F.xxhash64("word")).alias("slot")).groupBy("slot").agg(
         F.least(F.floor(4 * F.log2(F.count("*") + 1)), F.lit(126)).cast("int").alias("n"))
     known = {r["slot"]: r["n"] for r in slots.collect()}  # SLOTS rows at most
-    return bytes(1 + known.get(i, 0) for i in range(SLOTS))
+    # folded into one array literal, from which a look-up is cheap
+    return F.split(F.lit(",".join(str(1 + known.get(i, 0) << 56) for i in range(SLOTS))), ",").cast("array<bigint>")
 
 
-def _lines(texts: DataFrame, rarity: bytes) -> DataFrame:
+def _lines(texts: DataFrame, rarity: Column) -> DataFrame:
     """doc_id, text_hash, line_no and the line's word set: entry (its hash), size, signature and prefix of rare words."""
     # A word's code: its slot's rarity above 56 bits of its hash, so that sorting puts rare words first.
-    code = lambda h: F.shiftleft(F.ascii(F.substring(
-        F.lit(bytearray(rarity)), F.pmod(h, F.lit(SLOTS)).cast("int") + 1, F.lit(1))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    code = lambda h: F.get(rarity, _slot(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
     rows = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.filter(F.split(F.lower("line"), SEPARATORS), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
     rows = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(hashes, code)).alias("codes")).where(F.size("codes") > 0)
     return rows.select(
@@ -102,17 +106,20 @@ def _first_pairs(posted: DataFrame) -> DataFrame:
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ok: the words of both reach the similarity and ``two`` stands later."""
-    wanted = materialise(pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct().select("p.*").groupBy("doc", "tie").agg(
-        F.collect_set("line").alias("wanted"), F.count("*").alias("n")))
-    conf, key = texts.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = conf.get(key)
-    conf.set(key, "0")  # documents without a wanted line are best dropped before the shuffle
+    key = F.xxhash64(*PLACE)
+    wanted = materialise(pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct().select("p.*").withColumn("key", key))
+    conf, bloom = texts.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter"
+    settings = {f"{bloom}.applicationSideScanSizeThreshold": "0", f"{bloom}.creationSideThreshold": "1g"}
+    before = {name: conf.get(name) for name in settings}
+    for name, value in settings.items():  # lines that no pair wants are best dropped before the shuffle
+        conf.set(name, value)
     try:
-        words = materialise(texts.join(wanted.where("n > 0"), ["doc", "tie"]).select(
-            "doc", "tie", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line")).select(
-            F.struct(*PLACE).alias("place"), words_of(F.get("all", F.col("line"))).alias("words")).dropDuplicates(["place"]))
+        every = texts.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("key", key)
+        words = materialise(every.join(wanted.where("line >= 0"), ["key", *PLACE]).select(
+            F.struct(*PLACE).alias("place"), words_of(F.col("words")).alias("words")).dropDuplicates(["place"]))
     finally:
-        conf.set(key, before)
+        for name, value in before.items():
+            conf.set(name, value)
     joined = (pairs.join(words.select(F.col("place").alias("one"), F.col("words").alias("words1")), "one")
               .join(words.select(F.col("place").alias("two"), F.col("words").alias("words2")), "two"))
     same = F.size(F.array_intersect("words1", "words2"))
