@@ -4,8 +4,8 @@ The root of the tree holds the leftmost pair of the lowest rank.  A merge change
 leaves, each in logarithmic time, until the root says that nothing more can be merged, so a
 word of n bytes takes O(n log n) even where one "word" is a whole document.
 
-A word's ids do not depend on what stands around it, so each task keeps a bounded table of
-words already merged; words do not cross documents and documents stay in their tasks.
+A word's ids do not depend on what stands around it, so each task keeps a bounded table of words already merged, with
+their ids written out and decoded; words do not cross documents and documents stay in their tasks.
 """
 
 from __future__ import annotations
@@ -15,10 +15,15 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm import texts
+from reviewlens.llm.pieces import Coded, WordTable
+
 NONE = 1 << 60
 #: Fixed value: how the vocabulary cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -145,23 +150,63 @@ def load(path: str) -> dict:
     return {"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec.get("added_tokens")}
 
 
-def _over(docs: DataFrame, path: str, rows, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+class Spelled(WordTable):
+    """Words with their ids, the ids written out and the bytes that the ids decode to."""
+
+    def __init__(self, coder: ByteBpe):
+        self.bpe = coder
+        super().__init__(lambda words: list(map(coder.merge, words)))
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.written: list[bytes] = []
+        self.decoded: list[bytes] = []
+
+    def _add(self, words: list[bytes]) -> list[list[int]]:
+        coded, pieces = super()._add(words), self.bpe.pieces
+        self.written += [b"%s," % ",".join(map(str, ids)).encode() for ids in coded]
+        self.decoded += [b"".join(map(pieces.__getitem__, ids)) for ids in coded]
+        return coded
+
+    def spell(self, coded: Coded, words: list[bytes]) -> list[memoryview]:
+        """Each text with ``words`` (written or decoded) in place of its own words."""
+        if not len(coded.codes):
+            return [memoryview(b"")] * (len(coded.first) - 1)
+        own = pa.array([words[i] for i in coded.distinct], pa.large_binary()).take(pa.array(coded.codes))
+        _, borders, data = own.buffers()
+        at = np.frombuffer(borders, np.int64)[coded.first].tolist()
+        data = memoryview(data if data is not None else b"")
+        return [data[low:high] for low, high in zip(at, at[1:])]
+
+
+def _over(docs: DataFrame, path: str, columns, schema: str) -> DataFrame:
+    """``columns`` of a chunk: a function of the coder, the word table, the chunk's words, and the ids of the texts that
+    hold added tokens, by row."""
     shipped = docs.sparkSession.sparkContext.broadcast(load(path))
+    names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, names = ByteBpe(shipped.value), [x.split()[0] for x in schema.split(",")]
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                columns = zip(*(rows(coder, text or "") for text in part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns, kinds)], names)
+        coder = ByteBpe(shipped.value)
+        table = Spelled(coder)
+        for part in texts.chunks(batches):
+            column = part.column("text")
+            special = {}
+            for content in coder.added:
+                for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, content), False)):
+                    special[int(i)] = coder.encode(column[int(i)].as_py())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns(coder, table, table.code(column), special)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids of each text.  A null text is empty and has no ids; rows may repeat."""
-    return _over(docs, path, lambda coder, text: (coder.encode(text),), "doc_id long, ids array<int>", [pa.list_(pa.int32())])
+    def columns(coder: ByteBpe, table: Spelled, coded: Coded, special: dict[int, list[int]]):
+        ids, first = table.ids(coded)
+        own = [special.get(i, ids[first[i]:first[i + 1]]) for i in range(len(first) - 1)]
+        return [pa.array(own, pa.list_(pa.int32()))]
+
+    return _over(docs, path, columns, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -171,10 +216,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     empty table gives no rows.  Only doc_id and text are read, so further columns do not matter.
     Strings of added tokens become their ids, as the tokenizers library has it.
     """
-    def rows(coder: ByteBpe, text: str):
-        ids = coder.encode(text)
-        return (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                hashlib.sha256(coder.decode(ids).encode()).hexdigest())
-
-    return _over(docs, path, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                 [pa.int64(), pa.string(), pa.string()])
+    def columns(coder: ByteBpe, table: Spelled, coded: Coded, special: dict[int, list[int]]):
+        sizes = table.sizes(coded)
+        ids = [hashlib.sha256(x[:-1]).hexdigest() for x in table.spell(coded, table.written)]
+        decoded = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in table.spell(coded, table.decoded)]
+        for i, own in special.items():
+            sizes[i] = len(own)
+            ids[i] = hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()
+            decoded[i] = hashlib.sha256(coder.decode(own).encode()).hexdigest()
+        return [pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+
+    return _over(docs, path, columns, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
