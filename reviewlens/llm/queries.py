@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import (bpe, fingerprints, language, licenses, lines, mixing, ordered_minhash, packing, periods, pivots,
-                            suffixes, toxicity)
+                            search, suffixes, toxicity)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(read(spark, folder, "documents"))
 
 
+def op11_length_strata(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op12_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periods.find_runs(read(spark, folder, "documents"), periods.periodic_tail, texts_too=False)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -79,5 +83,6 @@ def op13_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_pivot_permutations, op2_order_minhash, op3_hierarchical_mix, op4_language_id, op5_toxicity, op6_bpe_round_trip,
     op7_license_scan, op8_fingerprints, op9_suffix_dedup, op10_line_dedup,
-    op12_period_runs, op13_slack_packing)}
-ORACLES = {"op3_hierarchical_mix": mixing.ORACLE, "op7_license_scan": licenses.oracle(), "op10_line_dedup": lines.ORACLE}
+    op11_length_strata, op12_period_runs, op13_slack_packing)}
+ORACLES = {"op3_hierarchical_mix": mixing.ORACLE, "op7_license_scan": licenses.oracle(), "op10_line_dedup": lines.ORACLE,
+           "op11_length_strata": search.ORACLE}
