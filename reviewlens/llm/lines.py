@@ -28,6 +28,9 @@ SEPARATORS = r"[\x00-/:-@\[-`{-\x7F]+"
 #: A place: document, line, and a tie-break that is 0 unless rows with different texts share a doc_id.
 PLACE = ["doc", "line", "tie"]
 FIRST = -(1 << 63)
+#: Bits of a posting's size and position; larger ones only weaken the filters.
+SIZE_BITS, AT_BITS = 18, 13
+MOST_SIZE, MOST_AT = (1 << SIZE_BITS) - 1, (1 << AT_BITS) - 1
 
 
 def words_of(line: Column) -> Column:
@@ -69,57 +72,90 @@ def _lines(texts: DataFrame, rarity: Column) -> DataFrame:
         F.transform(F.slice("codes", F.lit(1), F.floor(F.size("codes") / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"))
 
 
-def _before(a: str, b: str) -> Column:
-    return F.struct(*[F.col(f"{a}.{c}") for c in PLACE]) < F.struct(*[F.col(f"{b}.{c}") for c in PLACE])
+def _pack(line: Column, size: Column, at: Column) -> Column:
+    """Line, size and position in one number that orders by line; a size or position beyond its bits is cut down to them."""
+    return F.shiftleft(line.cast("long"), SIZE_BITS + AT_BITS).bitwiseOR(
+        F.shiftleft(F.least(size, F.lit(MOST_SIZE)).cast("long"), AT_BITS)).bitwiseOR(F.least(at, F.lit(MOST_AT)).cast("long"))
 
 
-def _may_match(size: Column, at: Column, signature: Column, size2: Column, at2: Column, signature2: Column) -> Column:
+def _may_match(pack: Column, signature: Column, pack2: Column, signature2: Column) -> Column:
     """Necessary conditions for two entries with a common prefix word: length, position, symmetric difference."""
+    size, size2 = (F.shiftright(p, AT_BITS).bitwiseAND(MOST_SIZE) for p in (pack, pack2))
+    at, at2 = (p.bitwiseAND(MOST_AT) for p in (pack, pack2))
     both = size + size2
-    return ((5 * F.least(size, size2) >= 4 * F.greatest(size, size2)) & (9 * F.least(size - at, size2 - at2) >= 4 * both)
-            & (9 * F.bit_count(signature.bitwiseXOR(signature2)) <= both))
+    return (F.greatest(size, size2) == MOST_SIZE) | (
+        (5 * F.least(size, size2) >= 4 * F.greatest(size, size2)) & (9 * F.least(size - at, size2 - at2) >= 4 * both)
+        & (9 * F.bit_count(signature.bitwiseXOR(signature2)) <= both))
 
 
-def _posted(entries: DataFrame) -> DataFrame:
+def _posted(entries: DataFrame, ties: bool) -> DataFrame:
     # no other set of fewer than four words reaches the similarity, but its own, which is the same entry
-    return entries.where("size >= 4 and signature is not null").select(*PLACE, "size", "signature", F.posexplode("prefix").alias("at", "code"))
+    rows = entries.where("size >= 4 and signature is not null").select(*PLACE, "size", "signature", F.posexplode("prefix").alias("at", "code"))
+    return rows.select("code", "doc", _pack(F.col("line"), F.col("size"), F.col("at")).alias("pack"), "signature", *["tie"] * ties)
 
 
-def _pairs(a: DataFrame, b: DataFrame, more: Column | None = None) -> DataFrame:
-    """one (earlier) and two (later): places that share a prefix word and may match."""
-    condition = (F.col("a.code") == F.col("b.code")) & _before("a", "b") & _may_match(
-        *[F.col(f"{x}.{c}") for x in "ab" for c in ("size", "at", "signature")])
+def _place(side: str, ties: bool) -> Column:
+    line = F.shiftright(F.col(f"{side}.pack"), SIZE_BITS + AT_BITS).cast("int")
+    return F.struct(F.col(f"{side}.doc").alias("doc"), line.alias("line"),
+                    (F.col(f"{side}.tie") if ties else F.lit(0).cast("long")).alias("tie"))
+
+
+def _pairs(a: DataFrame, b: DataFrame, ties: bool, more: Column | None = None) -> DataFrame:
+    """one (earlier) and two (later): places that share a prefix word and may match.
+
+    Of two texts with one doc_id, lines with the same number never remove each other, whichever stands first here.
+    """
+    before = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.pack") < F.col("b.pack")))
+    condition = (F.col("a.code") == F.col("b.code")) & before & _may_match(
+        *[F.col(f"{x}.{c}") for x in "ab" for c in ("pack", "signature")])
     joined = a.alias("a").join(b.alias("b"), condition if more is None else condition & more)
-    return joined.select(F.struct(*[F.col(f"a.{c}") for c in PLACE]).alias("one"),
-                         F.struct(*[F.col(f"b.{c}") for c in PLACE]).alias("two")).distinct()
+    return joined.select(_place("a", ties).alias("one"), _place("b", ties).alias("two")).distinct()
 
 
-def _first_pairs(posted: DataFrame) -> DataFrame:
+def _first_pairs(posted: DataFrame, ties: bool) -> DataFrame:
     """Candidates, where what may match its list's head meets the head only."""
     # column by column, so that both sides of the join read one and the same exchange
-    order = Window.partitionBy("code").orderBy(*PLACE)
-    near = posted.withColumns({f"head_{c}": F.first(c).over(order) for c in [*PLACE, "size", "at", "signature"]})
-    near = near.withColumn("near", _may_match(*[F.col(f"{side}{c}") for side in ("head_", "") for c in ("size", "at", "signature")]))
-    is_head = F.struct(*[F.col(f"a.{c}") for c in PLACE]) == F.struct(*[F.col(f"b.head_{c}") for c in PLACE])
-    return _pairs(posted, near, ~F.col("b.near") | is_head)
+    key = ["doc", "pack", *["tie"] * ties]
+    order = Window.partitionBy("code").orderBy(*key)
+    near = posted.withColumns({f"head_{c}": F.first(c).over(order) for c in [*key, "signature"]})
+    near = near.withColumn("near", _may_match(*[F.col(f"{side}{c}") for side in ("head_", "") for c in ("pack", "signature")]))
+    near = near.drop("head_signature")
+    is_head = F.lit(True)
+    for c in key:
+        is_head = is_head & (F.col(f"a.{c}") == F.col(f"b.head_{c}"))
+    return _pairs(posted, near, ties, ~F.col("b.near") | is_head)
+
+
+class _Sieve:
+    """A bit per hash of ``keys``: says no to most rows that an equi-join would drop, before they are shuffled.
+
+    Its size is fixed; on more keys than bits it lets more rows pass, and the join that follows decides in any case.
+    """
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        slot = F.xxhash64(*columns).bitwiseAND(64 * SLOTS - 1)
+        found = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+            F.bit_or(self._bit(F.col("slot"))).alias("bits")).collect()  # SLOTS rows at most
+        bits = {r["word"]: r["bits"] for r in found}
+        self.bits = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
+
+    @staticmethod
+    def _bit(slot: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+
+    def passes(self, *columns: Column) -> Column:
+        slot = F.xxhash64(*columns).bitwiseAND(64 * SLOTS - 1)
+        return F.get(self.bits, F.shiftright(slot, 6).cast("int")).bitwiseAND(self._bit(slot)) != 0
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with ok: the words of both reach the similarity and ``two`` stands later."""
-    key = F.xxhash64(*PLACE)
-    wanted = materialise(pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct().select("p.*").withColumn("key", key))
-    conf, bloom = texts.sparkSession.conf, "spark.sql.optimizer.runtime.bloomFilter"
-    settings = {f"{bloom}.applicationSideScanSizeThreshold": "0", f"{bloom}.creationSideThreshold": "1g"}
-    before = {name: conf.get(name) for name in settings}
-    for name, value in settings.items():  # lines that no pair wants are best dropped before the shuffle
-        conf.set(name, value)
-    try:
-        every = texts.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("key", key)
-        words = materialise(every.join(wanted.where("line >= 0"), ["key", *PLACE]).select(
-            F.struct(*PLACE).alias("place"), words_of(F.col("words")).alias("words")).dropDuplicates(["place"]))
-    finally:
-        for name, value in before.items():
-            conf.set(name, value)
+    wanted = materialise(pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct().select("p.*"))
+    sieve = _Sieve(wanted, "doc", "line")
+    every = texts.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    every = every.where(sieve.passes(F.col("doc"), F.col("line")))
+    words = materialise(every.join(wanted, PLACE).select(
+        F.struct(*PLACE).alias("place"), words_of(F.col("words")).alias("words")).dropDuplicates(["place"]))
     joined = (pairs.join(words.select(F.col("place").alias("one"), F.col("words").alias("words1")), "one")
               .join(words.select(F.col("place").alias("two"), F.col("words").alias("words2")), "two"))
     same = F.size(F.array_intersect("words1", "words2"))
@@ -133,57 +169,63 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts = _documents(docs)
     lines = materialise(_lines(texts, _rarity(texts)))
     repeated = lines.select("doc_id", "text_hash").distinct().groupBy("doc_id").count().where("count > 1")
-    tie = F.lit(0).cast("long") if repeated.isEmpty() else F.col("text_hash")
+    ties = not repeated.isEmpty()
+    tie = F.col("text_hash") if ties else F.lit(0).cast("long")
     doc = F.coalesce("doc_id", F.lit(FIRST).cast("long"))
     texts = texts.select(doc.alias("doc"), "text", F.xxhash64("text").alias("text_hash")).select("doc", "text", tie.alias("tie"))
     entries = materialise(lines.groupBy("entry").agg(
         F.min(F.struct(doc.alias("doc"), F.col("line_no").alias("line"), tie.alias("tie"))).alias("place"),
         F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix")).select(
         "entry", "place.*", "size", "signature", "prefix"))
-    posted = _posted(entries)
-    tested = _verified(texts, materialise(_first_pairs(posted)))
+    tested = _verified(texts, materialise(_first_pairs(_posted(entries, ties), ties)))
     gone = tested.where("ok").select("two").distinct()
     put_off = materialise(tested.where("not ok").select("two").distinct().join(gone, "two", "left_anti").select("two.*"))
     if not put_off.isEmpty():
-        pairs = _pairs(posted, posted.join(put_off, PLACE, "left_semi")).join(tested.select("one", "two"), ["one", "two"], "left_anti")
+        # lists that hold none of those put off are not shuffled again
+        late = _posted(entries.join(put_off, PLACE, "left_semi"), ties)
+        early = _posted(entries, ties).where(_Sieve(late, "code").passes(F.col("code")))
+        pairs = _pairs(early, late, ties).join(tested.select("one", "two"), ["one", "two"], "left_anti")
         gone = gone.union(_verified(texts, materialise(pairs)).where("ok").select("two")).distinct()
     near = gone.select("two.*").withColumn("near", F.lit(True))
     verdict = entries.join(near, PLACE, "left").select("entry", "doc", "line", F.coalesce("near", F.lit(False)).alias("near"))
-    lost = lines.join(verdict, "entry").where(F.col("near") | (F.struct(doc, F.col("line_no")) > F.struct("doc", "line")))
+    lost = lines.select("entry", "doc_id", "text_hash", "line_no").join(verdict, "entry").where(
+        F.col("near") | (F.struct(doc, F.col("line_no")) > F.struct("doc", "line")))
     return materialise(lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
 
 
 def _with_removed(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns __lines (all lines) and __removed (numbers of those that go)."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__removed"))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(text) == gone["__hash"]), "left")
-    return joined.drop("__id", "__hash").withColumn("__lines", F.split(text, "\n")).withColumn(
-        "__removed", F.coalesce("__removed", F.array().cast("array<int>")))
+    """row (all columns of ``docs``), lines (all of them) and removed (numbers of those that go)."""
+    gone = removed_lines(docs.select("doc_id", "text"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col("row.doc_id").cast("long").alias("id"), text.alias("text"))
+    listed = _Sieve(gone, "text_hash").passes(F.xxhash64("text"))
+    none = F.array().cast("array<int>")
+    changed = rows.where(listed).withColumn("hash", F.xxhash64("text")).alias("r").join(
+        gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.hash") == F.col("g.text_hash")), "left")
+    return changed.select("r.row", "r.text", F.coalesce("g.removed", none).alias("removed")).union(
+        rows.where(~listed).select("row", "text", none.alias("removed"))).select("row", F.split("text", "\n").alias("lines"), "removed")
 
 
 def _kept_text() -> Column:
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__removed")
-    return F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    return F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns, texts without their repeated lines and n_chars to match.
 
-    Every row stays; a text that loses all its lines is empty and a null text stays null.
+    Every row stays; a text that loses all its lines is empty and a null text stays null.  Columns may have any name.
     """
-    found = _with_removed(docs)
-    text = F.when(F.size("__removed") > 0, _kept_text()).otherwise(F.col("text"))
-    columns = []
+    columns, touched = [], F.size("removed") > 0
     for name in docs.columns:
-        kind = docs.schema[name].dataType.simpleString()
+        own = F.col("row").getField(name)
         if name == "text":
-            columns.append(text.alias(name))
+            own = F.when(touched, _kept_text()).otherwise(own)
         elif name == "n_chars":
-            columns.append(F.when(F.size("__removed") > 0, F.length(_kept_text()).cast(kind)).otherwise(F.col(name)).alias(name))
-        else:
-            columns.append(F.col(f"`{name}`"))
-    return found.select(*columns)
+            own = F.when(touched, F.length(_kept_text()).cast(docs.schema[name].dataType.simpleString())).otherwise(own)
+        columns.append(own.alias(name))
+    return _with_removed(docs).select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -193,9 +235,10 @@ def line_report(docs: DataFrame) -> DataFrame:
     (rows that repeat a doc_id) are not later than each other and both stay, unless an earlier place matches.
     An empty table gives no rows; only doc_id and text are read.
     """
-    found = _with_removed(docs.select("doc_id", "text"))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("__lines").cast("long").alias("n_lines"),
-                        F.size("__removed").cast("long").alias("n_removed"), F.sha2(_kept_text(), 256).alias("kept_sha256"))
+    kept = F.when(F.size("removed") > 0, _kept_text()).otherwise(F.coalesce(F.col("row.text"), F.lit("")))
+    return _with_removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select(
+        "row.doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(kept, 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
