@@ -16,6 +16,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -89,8 +90,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
     return steps
 
 
+@lru_cache(maxsize=1)
 def _coder(spec: str):
-    """Ids of single words by the tokenizers library."""
+    """The library's tokenizer, its added tokens and a table of words, which a Python worker keeps for its next tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import tokenizers
 
@@ -102,7 +104,7 @@ def _coder(spec: str):
     def ids(words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    return library, added, ids
+    return library, added, WordTable(ids)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -116,8 +118,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False)
     schema = PIECE + (", ids array<int>" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, added, coder = _coder(shipped.value)
-        table = WordTable(coder)
+        library, added, table = _coder(shipped.value)
         for part in texts.chunks(batches):
             column = part.column("text").fill_null("")
             coded, first = table.ids(table.code(column))
