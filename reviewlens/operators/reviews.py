@@ -66,16 +66,17 @@ def key_digest(keys: list[str]) -> Column:
 
 
 def dedupe_reviews(reviews: DataFrame, keys: list[str] = REVIEW_KEYS, *, order: Column) -> DataFrame:
-    """Keep one row per key, the first in ``order``, a unique whole number per row.
+    """Keep exactly one row per key, the first in ``order``.
 
-    Only digests and ordinals are grouped: the first ordinal of each 256-bit key digest is found by a
-    hash aggregate that combines inside every task, so a text copied into a third of all rows leaves each
-    task once.  The rows that lose, normally few, are then dropped by their ordinal; texts are not sorted.
+    ``order`` is any column that can be sorted.  A missing value comes last, and rows of one key that tie are told apart by
+    a hash of all their columns, so an ordinal that repeats loses no key and leaves no copy.  The input is scanned
+    once and shuffled once; every task first reduces its own rows to one per key, so a text copied into a third of all
+    rows leaves each task once.
     """
-    keyed = reviews.select(key_digest(keys).alias("_digest"), order.cast("long").alias("_order"))
-    first = keyed.groupBy("_digest").agg(F.min("_order").alias("_first"))
-    lost = keyed.join(first, "_digest").filter("_order > _first").select("_order")
-    return reviews.withColumn("_order", order.cast("long")).join(lost, "_order", "left_anti").drop("_order")
+    hashed = [f"`{f.name}`" for f in reviews.schema if "map<" not in f.dataType.simpleString()]
+    keyed = reviews.withColumns({"_digest": key_digest(keys), "_order": order, "_tie": F.xxhash64(*hashed)})
+    first = top_per_group(keyed, ["_digest"], [F.col("_order").asc_nulls_last(), F.col("_tie")], 1)
+    return first.drop("_digest", "_order", "_tie")
 
 
 def dedupe_audit(reviews: DataFrame, keys: list[str] = REVIEW_KEYS) -> DataFrame:
@@ -87,7 +88,7 @@ def dedupe_audit(reviews: DataFrame, keys: list[str] = REVIEW_KEYS) -> DataFrame
 
 def review_table(raw: DataFrame, require_name: bool = True, keep: tuple[str, ...] = (),
                  *, order: Column, category_fallback: str = "column") -> DataFrame:
-    """Raw rows to labelled, filtered, de-duplicated reviews; ``order`` (a kept, unique column) says which copy stays.
+    """Raw rows to labelled, filtered, de-duplicated reviews; ``order`` (a kept column) says which copy stays.
 
     Without ``require_name`` a missing name stays missing, as a key of its own.
     """
