@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm import texts
-from reviewlens.llm.pieces import Coded, WordTable
+from reviewlens.llm.pieces import Coded, WordTable, end_to_end
 
 NONE = 1 << 60
 #: Fixed value: how the vocabulary cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_WORDS = 1_000_000
 KEPT_BYTES = 64
+#: Words of up to so many bytes merge side by side.
+FOREST = 64
 
 
 class PairTree:
@@ -57,6 +60,65 @@ class PairTree:
             best[node] = value
 
 
+class PairForest:
+    """Segment trees of many short words, one row each, that merge side by side: every round takes one merge of each word.
+
+    A leaf holds rank * leaves + position, so a root is the leftmost pair of the lowest rank.
+    """
+
+    def __init__(self, coder: ByteBpe, words: list[bytes], leaves: int):
+        self.coder, self.leaves = coder, leaves
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(w.ljust(leaves, b"\0") for w in words), np.uint8).reshape(len(words), leaves)
+        place = np.arange(leaves)
+        self.ids = np.where(place < self.size[:, None], coder.single_ids[data], -1)
+        self.after = np.minimum(place + 1, self.size[:, None])
+        self.before = np.broadcast_to(place - 1, self.ids.shape).copy()
+        self.best = np.full((len(words), 2 * leaves), NONE)
+        pairs = self.ids[:, :-1], self.ids[:, 1:]
+        self.best[:, leaves:-1] = np.where(pairs[1] >= 0, self._leaf(pairs[0], pairs[1], place[:-1]), NONE)
+        level = leaves
+        while level > 1:
+            self.best[:, level // 2:level] = np.minimum(self.best[:, level:2 * level:2], self.best[:, level + 1:2 * level:2])
+            level //= 2
+
+    def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        rank = self.coder.ranks(left, right)
+        return np.where(rank < NONE, rank * self.leaves + place, NONE)
+
+    def _put(self, rows: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+        node = place + self.leaves
+        self.best[rows, node] = value
+        while node[0] > 1:  # all leaves are at one depth
+            node = node >> 1
+            self.best[rows, node] = np.minimum(self.best[rows, 2 * node], self.best[rows, 2 * node + 1])
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, word after word, and their number per word."""
+        rows = np.flatnonzero(self.best[:, 1] < NONE)
+        while len(rows):
+            rank, at = np.divmod(self.best[rows, 1], self.leaves)
+            gone = self.after[rows, at]
+            right = self.after[rows, gone]
+            self.ids[rows, at] = self.coder.merged[rank]
+            self.ids[rows, gone] = -1
+            self.after[rows, at] = right
+            self._put(rows, gone, np.full(len(rows), NONE))
+            has = right < self.size[rows]
+            self.before[rows[has], right[has]] = at[has]
+            value = np.full(len(rows), NONE)
+            value[has] = self._leaf(self.ids[rows[has], at[has]], self.ids[rows[has], right[has]], at[has])
+            self._put(rows, at, value)
+            left = self.before[rows, at]
+            has = left >= 0
+            if has.any():
+                own, left = rows[has], left[has]
+                self._put(own, left, self._leaf(self.ids[own, left], self.ids[own, at[has]], left))
+            rows = rows[self.best[rows, 1] < NONE]
+        kept = self.ids >= 0
+        return self.ids[kept], kept.sum(axis=1)
+
+
 class _Known(dict):
     """Ids of words merged so far; a word it lacks is merged, and kept if it is short and there is room."""
 
@@ -90,6 +152,13 @@ class ByteBpe:
         self.added = added
         self.added_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") \
             if added else None
+        # the same tables as arrays: pairs sorted by key, and what each rank merges to
+        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank_of = keys[order], np.array([rank for rank, _ in self.merges.values()], np.int64)[order]
+        self.merged = np.zeros(int(self.rank_of.max(initial=-1)) + 1, np.int64)
+        self.merged[[rank for rank, _ in self.merges.values()]] = [new for _, new in self.merges.values()]
+        self.single_ids = np.array(self.single, np.int64)
         self.words = regex.compile(PATTERN).findall
         self.known = _Known(self)
 
@@ -121,6 +190,33 @@ class ByteBpe:
                 tree.put(left, NONE if f is None else f[0] * n + left)
         return tuple(i for i in ids if i >= 0)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE where they do not merge."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], NONE)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, end to end, and their number per word.  Short words merge side by side, by length."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        least, leaves = 0, 4
+        while leaves <= FOREST:
+            for at in np.array_split(found := np.flatnonzero((size > least) & (size <= leaves)), len(found) * leaves // (1 << 18) + 1):
+                if len(at):
+                    parts.append((at, *PairForest(self, [words[i] for i in at], leaves).merge()))
+            least, leaves = leaves, 2 * leaves
+        if len(at := np.flatnonzero(size > least)):
+            parts.append((at, *end_to_end([self.merge(words[i]) for i in at])))
+        counts = np.zeros(len(words), np.int64)
+        for at, _, own in parts:
+            counts[at] = own
+        first = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
+        for at, ids, own in parts:
+            out[np.repeat(first[at] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return out, counts
+
     def _ids(self, text: str) -> Iterator[int]:
         return chain.from_iterable(map(self.known.__getitem__, self.words(text)))
 
@@ -143,10 +239,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
-def load(path: str) -> dict:
-    """The parts of a vocabulary file that coding needs; its size is bounded by the vocabulary."""
+def read(path: str) -> str:
+    """A vocabulary file; its size is bounded by the vocabulary."""
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+        return file.read()
+
+
+def load(path: str) -> dict:
+    """The parts of a vocabulary file that coding needs."""
+    return _parts(read(path))
+
+
+def _parts(text: str) -> dict:
+    spec = json.loads(text)
     return {"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec.get("added_tokens")}
 
 
@@ -155,18 +260,19 @@ class Spelled(WordTable):
 
     def __init__(self, coder: ByteBpe):
         self.bpe = coder
-        super().__init__(lambda words: list(map(coder.merge, words)))
+        super().__init__(coder.merge_all)
 
     def _clear(self) -> None:
         super()._clear()
         self.written: list[bytes] = []
         self.decoded: list[bytes] = []
 
-    def _add(self, words: list[bytes]) -> list[list[int]]:
-        coded, pieces = super()._add(words), self.bpe.pieces
-        self.written += [b"%s," % ",".join(map(str, ids)).encode() for ids in coded]
-        self.decoded += [b"".join(map(pieces.__getitem__, ids)) for ids in coded]
-        return coded
+    def _add(self, words: list[bytes]) -> None:
+        low, first = self.used, self.words
+        super()._add(words)
+        at, ids, pieces = (self.at[first:self.words + 1] - low).tolist(), self.flat[low:self.used].tolist(), self.bpe.pieces
+        self.written += [b"%s," % ",".join(map(str, ids[a:b])).encode() for a, b in zip(at, at[1:])]
+        self.decoded += [b"".join(map(pieces.__getitem__, ids[a:b])) for a, b in zip(at, at[1:])]
 
     def spell(self, coded: Coded, words: list[bytes]) -> list[memoryview]:
         """Each text with ``words`` (written or decoded) in place of its own words."""
@@ -179,15 +285,21 @@ class Spelled(WordTable):
         return [data[low:high] for low, high in zip(at, at[1:])]
 
 
+@lru_cache(maxsize=1)
+def _table(text: str) -> Spelled:
+    """A Python worker keeps its words for its next tasks."""
+    return Spelled(ByteBpe(_parts(text)))
+
+
 def _over(docs: DataFrame, path: str, columns, schema: str) -> DataFrame:
     """``columns`` of a chunk: a function of the coder, the word table, the chunk's words, and the ids of the texts that
     hold added tokens, by row."""
-    shipped = docs.sparkSession.sparkContext.broadcast(load(path))
+    shipped = docs.sparkSession.sparkContext.broadcast(read(path))
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ByteBpe(shipped.value)
-        table = Spelled(coder)
+        table = _table(shipped.value)
+        coder = table.bpe
         for part in texts.chunks(batches):
             column = part.column("text")
             special = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.llm import texts
-from reviewlens.llm.pieces import WordTable
+from reviewlens.llm.pieces import WordTable, end_to_end
 from reviewlens.runtime import materialise
 
 CAPACITY = 2048
@@ -101,8 +101,8 @@ def _coder(spec: str):
     library.no_padding()
     added = [t.content for t in library.get_added_tokens_decoder().values()]
 
-    def ids(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return end_to_end([e.ids for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
 
     return library, added, WordTable(ids)
 

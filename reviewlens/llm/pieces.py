@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -105,6 +106,12 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def end_to_end(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array and their lengths."""
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum())), sizes
+
+
 class Coded(NamedTuple):
     """A chunk of texts as words: dictionary index per word, first word per text, and the distinct words' numbers."""
 
@@ -114,9 +121,9 @@ class Coded(NamedTuple):
 
 
 class WordTable:
-    """Numbers words and keeps their ids; ``coder`` gives the ids of a list of words (bytes)."""
+    """Numbers words and keeps their ids; ``coder`` gives the ids of a list of words (bytes), end to end, and each word's count."""
 
-    def __init__(self, coder: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, coder: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.coder = coder
         self._clear()
 
@@ -125,10 +132,8 @@ class WordTable:
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.words = np.zeros(1 << 12, np.int64), 0
 
-    def _add(self, words: list[bytes]) -> list[list[int]]:
-        coded = self.coder(words)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = np.concatenate([np.asarray(c, np.int32) for c in coded])
+    def _add(self, words: list[bytes]) -> None:
+        ids, sizes = self.coder(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.words + len(words) + 1 > len(self.at):
@@ -137,7 +142,6 @@ class WordTable:
         self.at[self.words + 1:self.words + 1 + len(words)] = self.used + np.cumsum(sizes)
         self.known.update(zip(words, range(self.words, self.words + len(words))))
         self.used, self.words = self.used + len(ids), self.words + len(words)
-        return coded
 
     def code(self, column: pa.Array) -> Coded:
         """The words of a text column (null is empty); numbers hold until the next call."""

@@ -15,7 +15,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reviewlens.llm import packing, periods, pieces, search
+from reviewlens.llm import bpe, packing, periods, pieces, search
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, n long, m long, rank int, row long, period long, term string"
@@ -182,7 +182,7 @@ def test_words_are_cut_like_the_library_does(library):
     rng = random.Random(1)
     parts = list("ab'stremvld  \n\t\r.,12é   ñ漢\U0001f600\x1c\x85٣Ⅷ_-") + ["'s", "'re", "'ll", " '", "\n\n "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(5000)]
-    table = pieces.WordTable(lambda words: [library.encode(w.decode(), add_special_tokens=False).ids for w in words])
+    table = pieces.WordTable(lambda words: pieces.end_to_end([library.encode(w.decode(), add_special_tokens=False).ids for w in words]))
     import pyarrow as pa
     for column in (texts, [None, "", *texts[:5]], [], [""]):
         ids, first = table.ids(table.code(pa.array(column, pa.string())))
@@ -193,7 +193,7 @@ def test_words_are_cut_like_the_library_does(library):
 def test_word_table_forgets(library, monkeypatch):
     import pyarrow as pa
     monkeypatch.setattr(pieces, "KEPT_WORDS", 5)
-    table = pieces.WordTable(lambda words: [library.encode(w.decode(), add_special_tokens=False).ids for w in words])
+    table = pieces.WordTable(lambda words: pieces.end_to_end([library.encode(w.decode(), add_special_tokens=False).ids for w in words]))
     for text in ("one two three four five six seven", "eight nine " + "x" * 200, "one two", "x" * 200):
         ids, _ = table.ids(table.code(pa.array([text])))
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
@@ -260,3 +260,16 @@ def test_packing(spark, library):
     assert packing.pack(frame(spark, []), PATH).count() == 0
     with pytest.raises(ValueError):
         packing.place(spark.createDataFrame([(1, 0, 3000)], "row long, piece int, length long"))
+
+
+# --- words merged side by side -----------------------------------------------------------------
+
+def test_forest_merges_like_single_trees():
+    coder, rng = bpe.ByteBpe(bpe.load(PATH)), random.Random(8)
+    letters = " abcdeghilnorstu\n.,'0"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 70))).encode() for _ in range(3000)]
+    words += [b"a" * n for n in range(1, 140)] + [rng.randbytes(n) for n in range(1, 140)]
+    ids, counts = coder.merge_all(words)
+    expected = [coder.merge(w) for w in words]
+    assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    assert [x.tolist() for x in coder.merge_all([])] == [[], []]
