@@ -7,7 +7,6 @@ without it (learned models, iterative clustering) are covered by property tests.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -433,6 +432,16 @@ def evidence_labels(v):
                                          numbers.pick_label(F.col("rank")).alias("pick"))
 
 
+@query("""SELECT product_name, CASE WHEN length(product_name) % 2 = 0 THEN corrected_category ELSE 'Second row' END AS corrected_category,
+ trust_score FROM {evidence}""")
+def taxonomy_first_row(v):
+    table = corrected_products(v)
+    first = table.withColumn("ord", 2 * (F.length("product_name") % 2))
+    second = table.withColumn("corrected_category", F.lit("Second row")).withColumn("ord", F.lit(1))
+    found = evidence.product_evidence(scored_reviews(v), first.unionByName(second), order="ord")
+    return found.select("product_name", "corrected_category", "trust_score")
+
+
 # --- taxonomy ------------------------------------------------------------------------
 
 @query("SELECT product_name, original_cluster_id, corrected_category, correction_reason FROM {corrected}")
@@ -558,16 +567,17 @@ def ngram_counts(v):
 
 
 def document_terms(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = text_reviews(v).select("doc_id", "text")
+    """Reviews, their term counts (both written once) and the vocabulary."""
+    rows = materialise(text_reviews(v).select("doc_id", "text", "product_name", "source_file", "label"))
     n_docs = rows.agg(F.count("*")).scalar()
-    counts = features.term_counts(features.with_terms(rows, "text"), "doc_id")
+    counts = materialise(features.term_counts(features.with_terms(rows, "text"), "doc_id"))
     vocab = features.vocabulary(features.stats_from_counts(counts), n_docs, 2, 0.9, 15000)
     return rows, counts, vocab
 
 
 @query("SELECT term, df, total, round(idf, 6) AS idf FROM {vocab}")
 def vocabulary(v):
-    rows = features.with_terms(text_reviews(v).select("doc_id", "text"), "text")
+    rows = features.with_terms(materialise(text_reviews(v).select("doc_id", "text")), "text")
     n_docs = rows.agg(F.count("*")).scalar()
     return features.vocabulary(features.stats_from_rows(rows), n_docs, 2, 0.9, 15000).select(
         "term", F.col("df").cast("bigint").alias("df"), F.col("total").cast("bigint").alias("total"), r6("idf"))
@@ -648,9 +658,9 @@ def cluster_extent(v):
 
 
 def document_clusters(v: Views) -> tuple[DataFrame, DataFrame]:
-    _, counts, vocab = document_terms(v)
+    rows, counts, vocab = document_terms(v)
     weights = features.tfidf_long(counts, vocab, "doc_id")
-    clusters = text_reviews(v).select("doc_id", "product_name", (
+    clusters = rows.select("doc_id", "product_name", (
         F.length("source_file") * 10 + F.length("label")).cast("int").alias("cluster_id"))
     return weights, clusters
 
@@ -734,7 +744,7 @@ def cluster_scenarios(v):
     for rows, text, name, of in ((reviews_of, evidence.noisy_text(), "before_with_reviews", products.join(known, "product_name", "left_semi")),
                                  (products, F.col("after_text"), "after_canonical_no_reviews", products)):
         weights, terms = cluster_plan.scenario_weights(rows, text)
-        scans.append(cluster_plan.run_scenario(of, weights, terms, name, [2, 4, 6, 8], restarts=2)["scan"])
+        scans.append(cluster_plan.run_scenario(of, weights, terms, name, list(range(2, 21)))["scan"])
     return clustering.scenario_comparison(scans)
 
 
@@ -780,31 +790,29 @@ def boosted_metrics(v):
 @query()
 def model_grid(v):
     train_rows, test_rows = split_reviews(v)
-    settings = [sentiment.Settings(kind=k, iterations=100) for k in ["Linear SVM", "Logistic Regression", "Naive Bayes"]]
-    return sentiment.compare_models(train_rows.drop("prepared"), test_rows.drop("prepared"), ["raw_tokens", "basic_clean"],
-                                    settings, "doc_id").drop("vectorizer")
+    lemmas = materialise(features.plural_lemmas(features.distinct_tokens(train_rows, "text")))
+    return sentiment.compare_models(
+        train_rows.drop("prepared"), test_rows.drop("prepared"), ["raw_tokens", "basic_clean", "stemming", "lemmatization"],
+        [sentiment.Settings(kind=k) for k in sentiment.MODELS], "doc_id", {"stemming": lemmas, "lemmatization": lemmas}).drop("vectorizer")
 
 
 @query()
 def random_search(v):
     train_rows, _ = split_reviews(v)
-    candidates = sentiment.sample_settings(n=4)
-    for c in candidates:
-        c.iterations = 50
-    return sentiment.random_search(train_rows, candidates)
+    return sentiment.random_search(train_rows, sentiment.sample_settings())
 
 
 @query()
 def extra_experiments(v):
     train_rows, test_rows = split_reviews(v)
-    return sentiment.extra_experiments(train_rows, test_rows, sentiment.Settings(iterations=200), "doc_id")
+    return sentiment.extra_experiments(train_rows, test_rows, sentiment.Settings(), "doc_id")
 
 
 @query()
 def production_scores(v):
     rows = text_reviews(v)
     lemmas = features.plural_lemmas(features.distinct_tokens(rows, "text"))
-    scored = card_plan.production_scores(rows, "doc_id", lemmas, settings=replace(card_plan.PRODUCTION, iterations=200))
+    scored = card_plan.production_scores(rows, "doc_id", lemmas)
     return scored.select("doc_id", "label", "predicted_sentiment")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions.fixed_values import CLUSTER_NOTE
 from reviewlens.operators.ordering import exact_quantiles, top_per_group
 from reviewlens.operators.taxonomy import cluster_examples, cluster_sizes
-from reviewlens.runtime import materialise
+from reviewlens.runtime import materialise, together
 
 SCAN_SCHEMA = "method string, k int, clusters int, inertia double, elbow_score double, silhouette_score double"
 
@@ -55,10 +55,23 @@ def _scan_row(labelled: DataFrame, method: str, k: int, inertia: float | None) -
 # --- k-means ---------------------------------------------------------------------
 
 def fit_kmeans(vectors: DataFrame, k: int, vector: str = "vector", restarts: int = 10, seed: int = 42) -> KMeansModel:
-    """Best of several seeded starts by within-cluster cost.  Cache ``vectors`` before."""
-    shaped = vectors.select(array_to_vector(F.col(vector)).alias("features"))
-    models = (KMeans(k=k, seed=seed + i, featuresCol="features").fit(shaped) for i in range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    """Best of several seeded starts by within-cluster cost; starts run at a time.  Cache or write ``vectors`` before."""
+    shaped = vectors.select(array_to_vector(F.col(vector)).alias("features")).persist()
+    try:
+        return _best_starts(shaped, [k], restarts, seed)[k]
+    finally:
+        shaped.unpersist()
+
+
+def _best_starts(shaped: DataFrame, ks: list[int], restarts: int, seed: int) -> dict[int, KMeansModel]:
+    """The cheapest model of each k, the earlier start on a tie; starts of all k run at a time over one cached table."""
+    starts = [(k, i) for k in ks for i in range(restarts)]
+    models = together([lambda k=k, i=i: KMeans(k=k, seed=seed + i, featuresCol="features").fit(shaped) for k, i in starts])
+    best: dict[int, KMeansModel] = {}
+    for (k, _), model in zip(starts, models):
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
 
 
 def kmeans_labels(vectors: DataFrame, model: KMeansModel, vector: str = "vector") -> DataFrame:
@@ -69,15 +82,23 @@ def kmeans_labels(vectors: DataFrame, model: KMeansModel, vector: str = "vector"
 def scan_kmeans(vectors: DataFrame, ks: list[int], vector: str = "vector", restarts: int = 10) -> DataFrame:
     """Inertia, elbow score and silhouette, one row for every k; scores are null where there are fewer than two
     clusters or more clusters asked for than there are different rows."""
-    rows, different = [], vectors.select(vector).distinct().count()
-    for k in ks:
-        if k > different:
-            rows.append(("KMeans", k, different, None, None, None))
-            continue
-        model = fit_kmeans(vectors, k, vector, restarts)
-        labelled = kmeans_labels(vectors, model, vector).withColumnRenamed(vector, "vector")
-        rows.append(_scan_row(labelled, "KMeans", k, float(model.summary.trainingCost)))
-    return vectors.sparkSession.createDataFrame(rows, SCAN_SCHEMA)
+    different = vectors.select(vector).distinct().count()
+    shaped = vectors.select(array_to_vector(F.col(vector)).alias("features")).persist()
+    rows = vectors.persist()
+    try:
+        best = _best_starts(shaped, [k for k in ks if k <= different], restarts, 42)
+
+        def row(k: int) -> tuple:
+            if k not in best:
+                return ("KMeans", k, different, None, None, None)
+            labelled = kmeans_labels(rows, best[k], vector).withColumnRenamed(vector, "vector")
+            return _scan_row(labelled, "KMeans", k, float(best[k].summary.trainingCost))
+
+        scanned = together([lambda k=k: row(k) for k in ks])
+    finally:
+        shaped.unpersist()
+        rows.unpersist()
+    return vectors.sparkSession.createDataFrame(scanned, SCAN_SCHEMA)
 
 
 # --- average linkage ---------------------------------------------------------------

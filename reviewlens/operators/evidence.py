@@ -86,6 +86,10 @@ def review_evidence(reviews: DataFrame) -> DataFrame:
         "rating_positive_share", *[expr.alias(c) for c, expr in finished.items()])
 
 
+#: Place of a row in the files of a taxonomy.
+TAXONOMY_ORDER = "taxonomy_ord"
+
+
 def join_taxonomy(evidence: DataFrame, taxonomy: DataFrame, join_key: str = "raw", order: str | None = None) -> DataFrame:
     """Keep the products with a taxonomy row; the first row per name in column ``order`` counts.
 
@@ -130,13 +134,17 @@ def rank_in_category(products: DataFrame) -> DataFrame:
     return ranked(products, ["corrected_category"], [F.col("rank_score").desc(), F.col("product_name").asc()])
 
 
-def product_evidence(reviews: DataFrame, taxonomy: DataFrame, join_key: str = "raw") -> DataFrame:
+def product_evidence(reviews: DataFrame, taxonomy: DataFrame, join_key: str = "raw", order: str | None = None) -> DataFrame:
     """Scored reviews and taxonomy to the ranked evidence table.
 
+    Of several taxonomy rows with one name the first in column ``order`` counts; a taxonomy read back
+    from files brings that column (``taxonomy_ord``) and needs no other.
     The aggregated products are written once, so the reviews are scanned once
     although score limits, ranks and rows all read the products.
     """
-    products = materialise(join_taxonomy(review_evidence(reviews), taxonomy, join_key))
+    if order is None and TAXONOMY_ORDER in taxonomy.columns:
+        order = TAXONOMY_ORDER
+    products = materialise(join_taxonomy(review_evidence(reviews), taxonomy, join_key, order))
     return rank_in_category(trust_score(products))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import DenseVector, VectorUDT
@@ -121,6 +122,29 @@ def stats_from_rows(df: DataFrame, terms: str = "terms") -> DataFrame:
             .agg(F.sum("m.d").alias("df"), F.sum("m.t").alias("total")))
 
 
+def count_cube(df: DataFrame, text_col: str, folds: list[int], high: int, stop_words: list[str] | None = None) -> DataFrame:
+    """Per n-gram of 1 to ``high`` words: words, and documents (df) and occurrences (total) in each fold, from one scan.
+
+    The counts of all folds but one are a difference, so vocabularies for any left-out fold, n-gram size and
+    document frequency are cuts of this table and need no other pass over the texts.
+    """
+    prepared = with_terms(df.select("fold", text_col), text_col, "terms", 1, high, stop_words)
+    both = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t"))),
+                    F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t"))))
+    rows = prepared.select("fold", F.explode(both).alias("m")).select("fold", "m.*")
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{name}_{f}")
+            for f in folds for c, name in (("d", "df"), ("t", "total"))]
+    return rows.groupBy("term").agg(*sums).withColumn("words", F.size(F.split("term", " ")))
+
+
+def cube_vocabulary(cube: DataFrame, folds: list[int], n_docs: int, high: int, min_df: int, max_df: float,
+                    max_features: int | None) -> DataFrame:
+    """Vocabulary of the documents in ``folds``, of which there are ``n_docs``: what ``vocabulary`` finds in their texts."""
+    df, total = (reduce(lambda a, b: a + b, [F.col(f"{name}_{f}") for f in folds]) for name in ("df", "total"))
+    stats = cube.where(F.col("words") <= high).select("term", df.alias("df"), total.alias("total")).where("df > 0")
+    return vocabulary(stats, n_docs, min_df, max_df, max_features)
+
+
 def tfidf_long(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
     """Unit-length TF-IDF weights as a long table (key, term, weight).
 

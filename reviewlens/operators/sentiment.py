@@ -6,22 +6,27 @@ import itertools
 import random
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.fixed_values import CLASSES
 from reviewlens.functions.numbers import id_label, label_id
-from reviewlens.operators import metrics
-from reviewlens.operators.features import TextVectorizer, preprocess
+from reviewlens.operators import boosting, linear, metrics
+from reviewlens.operators.features import TextVectorizer, count_cube, cube_vocabulary, preprocess, with_terms
 from reviewlens.operators.reviews import consistent_rows
 from reviewlens.operators.splits import balanced_weights, downsample, stratified_folds, stratified_split
+from reviewlens.runtime import materialise, together
 
 MULTICLASS = ["Logistic Regression", "Naive Bayes", "Random Forest"]
-ONE_VS_REST = ["Linear SVM", "Boosted Trees"]
+SVM, BOOSTED = "Linear SVM", "Boosted Trees"
+#: Kinds whose models are our own tables; the others are Spark ML pipelines.
+OWN_MODELS = {SVM: linear.LinearModel, BOOSTED: boosting.BoostedModel}
 MODELS = ["Logistic Regression", "Linear SVM", "Naive Bayes", "Random Forest", "Boosted Trees"]
 
 
@@ -31,7 +36,7 @@ class SentimentModel:
 
     kind: str
     vectorizer: TextVectorizer
-    stages: PipelineModel
+    stages: PipelineModel | linear.LinearModel | boosting.BoostedModel
 
     def transform(self, df: DataFrame, text_col: str = "prepared") -> DataFrame:
         """Add ``prediction`` (class name)."""
@@ -40,28 +45,22 @@ class SentimentModel:
     def score(self, featured: DataFrame) -> DataFrame:
         columns = featured.columns
         scored = self.stages.transform(featured)
-        return scored.select(*columns, decide(self.kind, scored).alias("prediction"))
+        return scored.select(*columns, id_label(F.col("class_number")).alias("prediction"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.vectorizer.save(spark, f"{path}/vectorizer")
-        self.stages.write().overwrite().save(f"{path}/classifier")
+        if self.kind in OWN_MODELS:
+            self.stages.save(spark, f"{path}/classifier")
+        else:
+            self.stages.write().overwrite().save(f"{path}/classifier")
         spark.createDataFrame([(self.kind,)], "kind string").write.mode("overwrite").json(f"{path}/kind")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "SentimentModel":
-        return cls(spark.read.json(f"{path}/kind").first()["kind"], TextVectorizer.load(spark, f"{path}/vectorizer"),
-                   PipelineModel.load(f"{path}/classifier"))
-
-
-def decide(kind: str, scored: DataFrame) -> Column:
-    """Predicted class name: the model's own class, or the class with the largest margin."""
-    if kind in MULTICLASS:
-        return id_label(F.col("class_number"))
-    present = [c for c in CLASSES if f"raw_{c}" in scored.columns]
-    margins = [F.struct(vector_to_array(f"raw_{c}")[1].alias("m"), F.lit(-CLASSES.index(c)).alias("i"))
-               for c in present]
-    best = F.array_max(F.array(*margins))["i"]
-    return id_label(-best)
+        kind = spark.read.json(f"{path}/kind").first()["kind"]
+        stages = (OWN_MODELS[kind].load(spark, f"{path}/classifier") if kind in OWN_MODELS
+                  else PipelineModel.load(f"{path}/classifier"))
+        return cls(kind, TextVectorizer.load(spark, f"{path}/vectorizer"), stages)
 
 
 @dataclass
@@ -90,62 +89,48 @@ def _class_rows(featured: DataFrame) -> dict[str, tuple[int, float]]:
     return {r["label"]: (r["class_rows"], r["class_weight"]) for r in rows}
 
 
-def fit_stages(featured: DataFrame, settings: Settings) -> PipelineModel:
+def fit_stages(featured: DataFrame, settings: Settings) -> PipelineModel | linear.LinearModel | boosting.BoostedModel:
     """Fit the classifier on (features, label).  Cache ``featured`` before.
 
-    Linear models minimise mean loss plus regParam/2 |w|², so regParam is 1 / (C x
-    sum of row weights).  One-vs-rest weighs only the positive side of each class.
+    The logistic model minimises mean loss plus regParam/2 |w|², so regParam is 1 / (C x sum of row weights).
     """
-    counts = _class_rows(featured)
-    total = sum(n for n, _ in counts.values())
-
-    def weights(of: dict[str, float]) -> Column:
-        chain = F.lit(1.0)
-        for name, value in of.items():
-            chain = F.when(F.col("label") == name, F.lit(float(value))).otherwise(chain)
-        return chain
-
+    if settings.kind in OWN_MODELS:
+        indices, values = linear.entries(F.unwrap_udt("features"))
+        rows = featured.select(F.lit(0).alias("fold"), label_id(F.col("label")).cast("int").alias("y"),
+                               indices.alias("indices"), values.alias("values")).persist()
+        first = featured.select("features").first()
+        size = first["features"].size if first else 0
+        fit = linear.Fit(None, None, settings.c, settings.balanced)
+        try:
+            if settings.kind == SVM:
+                return linear.LinearModel(linear.fit_all(rows, size, [fit], settings.iterations)[0])
+            table, models = boosting.fit_all(rows, size, [fit], len(CLASSES), settings.boost_rounds, settings.boost_depth, settings.boost_rate)
+            table.unpersist()
+            return models[0]
+        finally:
+            rows.unpersist()
     numbered = featured.withColumn("y", label_id(F.col("label")))
-    kind = settings.kind
-    if kind in MULTICLASS:
-        common = dict(featuresCol="features", labelCol="y", predictionCol="class_number",
-                      rawPredictionCol="raw", probabilityCol="probability")
-        if kind == "Logistic Regression":
-            by_class = {c: w for c, (_, w) in counts.items()} if settings.balanced else {}
-            mass = sum(n * by_class.get(c, 1.0) for c, (n, _) in counts.items())
-            learner = LogisticRegression(family="multinomial", weightCol="w", maxIter=settings.iterations,
-                                         regParam=1.0 / (settings.c * mass), standardization=False, **common)
-            numbered = numbered.withColumn("w", weights(by_class))
-        elif kind == "Naive Bayes":
-            learner = NaiveBayes(modelType="multinomial", smoothing=1.0, **common)
-        else:
-            learner = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.tree_depth, seed=42, **common)
-        return PipelineModel([learner.fit(numbered)])
-
-    stages = []
-    for c in CLASSES:
-        if c not in counts:
-            continue
-        positive, weight = counts[c]
-        one_sided = {c: weight} if settings.balanced and kind == "Linear SVM" else {}
-        mass = total + positive * (one_sided.get(c, 1.0) - 1.0)
-        binary = numbered.withColumn("target", (F.col("label") == c).cast("double")).withColumn("w", weights(one_sided))
-        common = dict(featuresCol="features", labelCol="target", predictionCol=f"side_{c}")
-        if kind == "Linear SVM":
-            learner = LinearSVC(weightCol="w", regParam=1.0 / (settings.c * mass), standardization=False,
-                                maxIter=settings.iterations, **common)
-        else:
-            learner = GBTClassifier(maxIter=settings.boost_rounds, maxDepth=settings.boost_depth,
-                                    stepSize=settings.boost_rate, seed=42, **common)
-            learner.set(learner.probabilityCol, f"probability_{c}")
-        learner.set(learner.rawPredictionCol, f"raw_{c}")
-        stages.append(learner.fit(binary))
-    return PipelineModel(stages)
-
-
-def train(df: DataFrame, settings: Settings, text_col: str = "prepared") -> SentimentModel:
-    """Fit vectoriser and classifier on the given rows only."""
-    vectorizer = replace(settings.vectorizer, terms=None, idf=None).fit(df, text_col)
+    common = dict(featuresCol="features", labelCol="y", predictionCol="class_number", rawPredictionCol="raw", probabilityCol="probability")
+    if settings.kind == "Logistic Regression":
+        counts = _class_rows(featured)
+        by_class = {c: w for c, (_, w) in counts.items()} if settings.balanced else {}
+        mass = sum(n * by_class.get(c, 1.0) for c, (n, _) in counts.items())
+        weight = F.lit(1.0)
+        for name, value in by_class.items():
+            weight = F.when(F.col("label") == name, F.lit(float(value))).otherwise(weight)
+        learner = LogisticRegression(family="multinomial", weightCol="w", maxIter=settings.iterations,
+                                     regParam=1.0 / (settings.c * mass), standardization=False, **common)
+        numbered = numbered.withColumn("w", weight)
+    elif settings.kind == "Naive Bayes":
+        learner = NaiveBayes(modelType="multinomial", smoothing=1.0, **common)
+    else:
+        learner = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.tree_depth, seed=42, **common)
+    return PipelineModel([learner.fit(numbered)])
+
+
+def train(df: DataFrame, settings: Settings, text_col: str = "prepared", fitted: TextVectorizer | None = None) -> SentimentModel:
+    """Fit vectoriser and classifier on the given rows only; ``fitted`` is a vectoriser already fitted on them."""
+    vectorizer = fitted or replace(settings.vectorizer, terms=None, idf=None).fit(df, text_col)
     featured = vectorizer.transform(df, text_col, "features").select("label", "features").persist()
     try:
         return SentimentModel(settings.kind, vectorizer, fit_stages(featured, settings))
@@ -159,14 +144,98 @@ def score_reviews(df: DataFrame, model: SentimentModel, text_col: str = "prepare
     return model.transform(df, text_col).withColumnRenamed("prediction", out)
 
 
-def cross_validate(df: DataFrame, settings: Settings, text_col: str = "prepared") -> float:
-    """Mean macro-F1 over the folds in column ``fold``; the vectoriser is fitted per fold."""
-    folds = sorted(r["fold"] for r in df.select("fold").distinct().collect())
-    scores = []
-    for f in folds:
-        model = train(df.filter(F.col("fold") != f), settings, text_col)
-        held = model.transform(df.filter(F.col("fold") == f), text_col)
-        scores.append(metrics.overall_metrics(held).first()["macro_f1"])
+class FoldTable:
+    """Training rows in folds, with the vocabularies of all vectorisers for every left-out fold, from one text scan.
+
+    ``rows`` (written once) holds term counts over the union of all vocabularies, whose size the feature limits
+    bound; a vectoriser fitted without a fold is a vector of term weights over it.
+    """
+
+    def __init__(self, train_rows: DataFrame, vectorizers: list[TextVectorizer], text_col: str = "prepared"):
+        first = vectorizers[0]
+        if any((v.low, v.sublinear, v.stop_words) != (1, first.sublinear, first.stop_words) for v in vectorizers):
+            raise ValueError("vectorisers that share counts start at single words and agree in scaling and stop words")
+        labelled = train_rows.select(F.col("fold").cast("int").alias("fold"), label_id(F.col("label")).cast("int").alias("y"), text_col)
+        self.counts = linear.class_counts(labelled)
+        self.folds = sorted({f for f, _ in self.counts})
+        high = max(v.high for v in vectorizers)
+        cube = materialise(count_cube(labelled, text_col, self.folds, high, first.stop_words))
+        wanted = {(self.key(v), f): v for v in vectorizers for f in [*self.folds, None]}
+        self.fitted = dict(zip(wanted, together([lambda v=v, f=f: self._fit(cube, v, f) for (_, f), v in wanted.items()])))
+        self.terms = sorted(set().union(*(v.terms for v in self.fitted.values())))
+        self.place = {t: i for i, t in enumerate(self.terms)}
+        counter = CountVectorizerModel.from_vocabulary(self.terms or [""], inputCol="_terms", outputCol="_counts")
+        counted = counter.transform(with_terms(labelled, text_col, "_terms", 1, high, first.stop_words))
+        parts = F.unwrap_udt("_counts")
+        values = F.transform(parts["values"], lambda x: F.log(x) + 1) if first.sublinear else parts["values"]
+        self.rows = materialise(counted.select("fold", "y", parts["indices"].alias("indices"), values.alias("values")))
+
+    @staticmethod
+    def key(v: TextVectorizer) -> tuple:
+        return v.high, v.min_df, v.max_df, v.max_features
+
+    def _fit(self, cube: DataFrame, v: TextVectorizer, without: int | None) -> TextVectorizer:
+        folds = [f for f in self.folds if f != without]
+        n_docs = sum(n for (f, _), n in self.counts.items() if f in folds)
+        found = cube_vocabulary(cube, folds, n_docs, v.high, v.min_df, v.max_df, v.max_features) if folds else cube.limit(0).selectExpr("term", "0D idf")
+        rows = sorted((r["term"], r["idf"]) for r in found.select("term", "idf").collect())  # at most max_features rows
+        return replace(v, terms=[t for t, _ in rows], idf=[x for _, x in rows])
+
+    def vectorizer(self, settings: Settings, without: int | None) -> TextVectorizer:
+        return self.fitted[self.key(settings.vectorizer), without]
+
+    def fit(self, settings: Settings, without: int | None) -> linear.Fit:
+        """The settings as a linear fit on ``rows``."""
+        v, scale = self.vectorizer(settings, without), np.zeros(len(self.terms))
+        scale[self._own(v)] = v.idf
+        return linear.Fit(scale, without, settings.c, settings.balanced)
+
+    def fit_linear(self, settings: Settings, whole: bool = False) -> tuple[float, SentimentModel | None]:
+        """Mean macro-F1 over the folds, all of which are fitted in step; with ``whole`` also the model of all rows."""
+        fits = [self.fit(settings, f) for f in [*self.folds, *[None] * whole]]
+        found = linear.fit_all(self.rows, len(self.terms), fits, settings.iterations, self.counts)
+        confusion = linear.held_out_confusion(self.rows, fits[:len(self.folds)], found[:len(self.folds)])
+        score = sum(linear.macro_f1(c, len(CLASSES)) for c in confusion.values()) / len(self.folds)
+        if not whole:
+            return score, None
+        v, weights = self.vectorizer(settings, None), found[-1]
+        own = [*self._own(v), len(self.terms)]
+        return score, SentimentModel(SVM, v, linear.LinearModel(linear.Weights(weights.classes, weights.table[:, own])))
+
+    def fit_boosted(self, settings: Settings, whole: bool = False) -> tuple[float, SentimentModel | None]:
+        """The same for boosted trees: folds and the model of all rows are chains of jobs that run at a time."""
+        def one(without: int | None) -> tuple[dict, boosting.BoostedModel]:
+            fits = [self.fit(settings, without)]
+            table, models = boosting.fit_all(self.rows, len(self.terms), fits, len(CLASSES), settings.boost_rounds,
+                                             settings.boost_depth, settings.boost_rate)
+            confusion = boosting.held_out_confusion(table, fits, models)[0]
+            table.unpersist()
+            return confusion, models[0]
+
+        found = together([lambda f=f: one(f) for f in [*self.folds, *[None] * whole]])
+        score = sum(linear.macro_f1(c, len(CLASSES)) for c, _ in found[:len(self.folds)]) / len(self.folds)
+        if not whole:
+            return score, None
+        v = self.vectorizer(settings, None)
+        return score, SentimentModel(BOOSTED, v, found[-1][1].narrowed(self._own(v)))
+
+    def _own(self, v: TextVectorizer) -> list[int]:
+        """Columns of a vectoriser's terms, in its order."""
+        return [self.place[t] for t in v.terms]
+
+
+def cross_validate(df: DataFrame, settings: Settings, text_col: str = "prepared", table: FoldTable | None = None) -> float:
+    """Mean macro-F1 over the folds in column ``fold``; vocabularies are fitted per fold, and folds train at a time."""
+    table = table or FoldTable(df, [settings.vectorizer], text_col)
+    if settings.kind in OWN_MODELS:
+        return (table.fit_linear if settings.kind == SVM else table.fit_boosted)(settings)[0]
+
+    def score(fold: int) -> float:
+        model = train(df.filter(F.col("fold") != fold), settings, text_col, table.vectorizer(settings, fold))
+        held = model.transform(df.filter(F.col("fold") == fold), text_col)
+        return metrics.overall_metrics(held).first()["macro_f1"]
+
+    scores = together([lambda f=f: score(f) for f in table.folds])
     return sum(scores) / len(scores)
 
 
@@ -181,23 +250,29 @@ def compare_models(train_rows: DataFrame, test_rows: DataFrame, preprocessing: l
                    id_col: str = "review_id", tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Cross-validated and test metrics of every preparation and model.
 
-    The prepared texts are cached once per preparation and shared by all models.
+    Texts are prepared and counted once per preparation; its models train at a time.
     """
-    spark, rows = train_rows.sparkSession, None
-    for method in preprocessing:
+    spark, rows = train_rows.sparkSession, []
+
+    def measure(method: str, prepared: DataFrame, held: DataFrame, shared: FoldTable, setting: Settings) -> dict:
+        if setting.kind in OWN_MODELS:
+            cv, model = (shared.fit_linear if setting.kind == SVM else shared.fit_boosted)(setting, whole=True)
+        else:
+            cv = cross_validate(prepared, setting, table=shared)
+            model = train(prepared, setting, fitted=shared.vectorizer(setting, None))
+        values = metrics.result_columns(model.transform(held)).first().asDict()
+        return {"preprocessing": method, "vectorizer": "tfidf", "model": setting.kind, "cv_macro_f1": cv, **values}
+
+    def prepare(method: str) -> list[dict]:
         table = (tables or {}).get(method)
-        prepared = preprocess(train_rows, method, id_col, table=table).persist()
-        held = preprocess(test_rows, method, id_col, table=table).persist()
-        for setting in settings:
-            cv = cross_validate(prepared, setting)
-            result = metrics.result_columns(train(prepared, setting).transform(held))
-            values = result.first().asDict()
-            row = spark.createDataFrame([{"preprocessing": method, "vectorizer": "tfidf", "model": setting.kind,
-                                          "cv_macro_f1": cv, **values}])
-            rows = row if rows is None else rows.unionByName(row)
-        prepared.unpersist()
-        held.unpersist()
-    return rows.orderBy(F.col("cv_macro_f1").desc(), "preprocessing", "model")
+        prepared = materialise(preprocess(train_rows, method, id_col, table=table))
+        held = materialise(preprocess(test_rows, method, id_col, table=table))
+        shared = FoldTable(prepared, [s.vectorizer for s in settings])
+        return together([lambda s=s: measure(method, prepared, held, shared, s) for s in settings])
+
+    for found in together([lambda m=m: prepare(m) for m in preprocessing]):
+        rows += found
+    return spark.createDataFrame(rows).orderBy(F.col("cv_macro_f1").desc(), "preprocessing", "model")
 
 
 SEARCH_SPACE = {
@@ -219,9 +294,16 @@ def sample_settings(space: dict[str, list] = SEARCH_SPACE, n: int = 24, seed: in
 
 
 def random_search(train_rows: DataFrame, candidates: list[Settings]) -> DataFrame:
-    """Cross-validated macro-F1 of every sampled setting, one row each, in sampling order."""
-    rows = [(i, s.vectorizer.high, s.vectorizer.min_df, s.vectorizer.max_features, s.c, s.balanced,
-             cross_validate(train_rows, s)) for i, s in enumerate(candidates)]
+    """Cross-validated macro-F1 of every sampled setting, one row each, in sampling order.
+
+    All settings and folds share one scan of the texts and one table of term counts.
+    """
+    if not candidates:
+        raise ValueError("no candidates")
+    table = FoldTable(train_rows, [s.vectorizer for s in candidates])
+    scores = together([lambda s=s: cross_validate(train_rows, s, table=table) for s in candidates])
+    rows = [(i, s.vectorizer.high, s.vectorizer.min_df, s.vectorizer.max_features, s.c, s.balanced, score)
+            for i, (s, score) in enumerate(zip(candidates, scores))]
     return train_rows.sparkSession.createDataFrame(
         rows, "setup_rank int, ngram_high int, min_df int, max_features int, c double, balanced boolean, "
               "cv_macro_f1 double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,16 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Chains of Spark jobs that run at a time.  One chain of short jobs leaves most cores idle.
+CHAINS = 8
+
+
+def together(jobs: list[Callable]) -> list:
+    """Results of functions without arguments, ``CHAINS`` of them running at a time, in the order given.
+
+    The functions submit Spark jobs; a function that is itself run this way may call it again.
+    """
+    with ThreadPoolExecutor(CHAINS) as pool:
+        return list(pool.map(lambda job: job(), jobs))

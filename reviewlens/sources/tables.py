@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.functions.lists import parse_list
+from reviewlens.operators.evidence import TAXONOMY_ORDER
 
 CARD_SCHEMA = (
     "headline string, summary string, best_for string, pros array<string>, cons array<string>, source string, "
@@ -58,12 +59,13 @@ def read_cards(spark: SparkSession, path: str, missing_ok: bool = False) -> Data
 
 
 def read_taxonomy(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Saved taxonomy with ``taxonomy_ord``, which orders rows by file name and by place in the file."""
     reader = spark.read.option("header", True).option("escape", '"')
-    if fmt == "csv":
-        raw = reader.csv(path)
-        return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
-                            for f in T._parse_datatype_string(TAXONOMY_SCHEMA)])
-    return spark.read.parquet(path).select(*[c.split()[0] for c in TAXONOMY_SCHEMA.split(", ")])
+    raw = reader.csv(path) if fmt == "csv" else spark.read.parquet(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(TAXONOMY_SCHEMA)],
+                      place.alias(TAXONOMY_ORDER))
 
 
 def read_evidence_csv(spark: SparkSession, path: str) -> DataFrame:
