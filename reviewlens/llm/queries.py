@@ -34,13 +34,15 @@ def op3_hierarchical_mix(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     model = language.train(docs.where(F.coalesce(fold(4) != 2, F.lit(True))))
-    return language.predict(docs, model).withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
+    found = language.predict(docs, model)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), *found.columns[1:])
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     model = toxicity.train(docs, labels.where(fold(5) != 0))
-    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), *found.columns[1:])
 
 
 def op6_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:

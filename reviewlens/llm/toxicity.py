@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm import texts
+from reviewlens.runtime import materialise
 
 FEATURE_BITS = 20
 #: Bound of the training sample, in labelled rows.
 SAMPLE_ROWS = 16384
+#: Bound of the coordinates of the training sample, four bytes each.
+SAMPLE_BYTES = 48 << 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 EPOCHS = 3
 
@@ -58,20 +61,34 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["place", "toxic", "keys"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on ``labels`` (doc_id, toxic 0/1) of ``docs``; null labels are left out.
 
-    At most ``sample_rows`` labels are drawn by a hash of doc_id, which also bounds what is broadcast
-    and collected.  Without both classes the model is an intercept only.
+    At most ``sample_rows`` labels are drawn by a hash of doc_id, which bounds what is broadcast.  Of their different
+    texts (a doc_id may repeat) the first ``sample_rows`` in hash order are used, as far as their coordinates fit in
+    ``sample_bytes``, which bounds what is collected.  Without both classes the model is an intercept only.
     """
     place = F.xxhash64(F.col("doc_id"))
     drawn = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1)")
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", place)
              .orderBy("place", "doc_id").limit(sample_rows))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
-    made = rows.select("place", "toxic", "text").mapInArrow(_distinct, "place long, toxic int, keys binary").collect()
-    sample = sorted((r["place"], r["toxic"], bytes(r["keys"])) for r in made)
-    return fit([(np.frombuffer(k, np.int32), y) for _, y, k in sample])
+    made = materialise(rows.select("place", "toxic", "text").mapInArrow(_distinct, "place long, toxic int, keys binary").withColumn(
+        "own", F.xxhash64("keys")))
+    order = ["place", "own", "toxic"]
+    sizes = made.select(*order, F.length("keys").alias("size")).distinct().orderBy(*order).limit(sample_rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["size"]
+        if total > sample_bytes and last is not None:
+            break
+        last = r
+    if last is None:
+        return fit([])
+    cut = F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(made.schema[c].dataType).alias(c) for c in order])
+    table = made.where(cut).dropDuplicates(order).select(*order, "keys").toArrow().sort_by([(c, "ascending") for c in order])
+    keys = table.column("keys").combine_chunks()
+    return fit([(np.frombuffer(k.as_buffer(), np.int32), y) for k, y in zip(keys, table.column("toxic").to_pylist())])
 
 
 def fit(sample: list[tuple[np.ndarray, int]]) -> Model:
