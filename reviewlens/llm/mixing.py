@@ -113,28 +113,35 @@ def plan(rows: DataFrame, depth: int, weights: dict[tuple[str, ...], int], budge
 
 def with_copies(docs: DataFrame, levels: list[Column], weights: dict[tuple[str, ...], int], budget_share: float = 1.0,
                 most_epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``docs`` with __copies, the number of times each row is taken (0 and up).
+    """``docs`` with __copies, the number of times each row is taken (0 and up), in place of a column of that name.
 
     ``levels`` are columns of ``docs`` from the root's children to the leaves; null is a node of its own.
     ``weights`` maps a node's path, or its name alone, to a whole number; other nodes weigh 1 among their siblings, and a weight of 0
     takes nothing.  A leaf without tokens has no quota and its documents are not taken; documents without tokens
     follow their leaf.  Rows that repeat a doc_id are taken together.  An empty table gives no rows.
     """
+    found = _taken(docs, levels, weights, budget_share, most_epochs, seed)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "__copies"], F.col("copies").alias("__copies"))
+
+
+def _taken(docs: DataFrame, levels: list[Column], weights: dict[tuple[str, ...], int], budget_share: float = 1.0,
+           most_epochs: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
+    """row (all columns of ``docs``, whatever their names) and copies."""
     depth = len(levels)
     rows = materialise(docs.select(docs["doc_id"].cast("string").alias("__id"), *leaf_columns(levels), token_count(docs["text"]).alias("__tokens")))
     leaves = plan(rows, depth, weights, budget_share, most_epochs, seed)
-    keyed = docs.select("*", *leaf_columns(levels))
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"), *leaf_columns(levels))
     joined = keyed.join(leaves, [_level(i) for i in range(depth)], "left")
-    last = _key(F.col("__whole"), joined["doc_id"], seed) <= F.col("__cut")
+    last = _key(F.col("__whole"), F.col("row").getField("doc_id"), seed) <= F.col("__cut")
     copies = F.coalesce(F.col("__whole") + F.when(last, F.lit(1)).otherwise(F.lit(0)), F.lit(0)).cast("long")
-    return joined.withColumn("__copies", copies).drop("__whole", "__cut", *[_level(i) for i in range(depth)])
+    return joined.select("row", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, levels: list[Column], weights: dict[tuple[str, ...], int], **settings) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    found = with_copies(docs, levels, weights, **settings).where("__copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    found = _taken(docs, levels, weights, **settings).where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def domain_of(source: Column) -> Column:

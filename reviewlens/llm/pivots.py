@@ -35,8 +35,13 @@ MOST_PIVOTS = 4096
 LEAST_COSINE = 0.98
 
 
+def _scaled(vector: np.ndarray) -> np.ndarray:
+    """The vector times a power of two, so that neither its norm nor a product over- or underflows."""
+    return np.ldexp(vector, -int(np.frexp(np.abs(vector).max())[1]))
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of each vector in double precision; null for one that may not link."""
+    """Bytes of each vector, scaled, in double precision; null for one that may not link."""
     for batch in batches:
         column = batch.column("embedding")
         values = pc.fill_null(pc.list_flatten(column).cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False) + 0.0
@@ -44,7 +49,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.concatenate([[0], np.cumsum(sizes)])
         bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
         some = np.concatenate([[0], np.cumsum(values != 0)])
-        keys = [values[a:b].tobytes() if b > a and bad[a] == bad[b] and some[a] < some[b] else None
+        keys = [_scaled(values[a:b]).tobytes() if b > a and bad[a] == bad[b] and some[a] < some[b] else None
                 for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary())],
                                          ["vec_id", "label", "vector"])

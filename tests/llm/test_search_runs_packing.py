@@ -15,7 +15,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from reviewlens.llm import bpe, packing, periods, pieces, search
+from reviewlens.llm import bpe, lines, mixing, packing, periods, pieces, pivots, search, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, n long, m long, rank int, row long, period long, term string"
@@ -273,3 +273,38 @@ def test_forest_merges_like_single_trees():
     expected = [coder.merge(w) for w in words]
     assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
     assert [x.tolist() for x in coder.merge_all([])] == [[], []]
+
+
+# --- mended earlier operators --------------------------------------------------------------------
+
+def test_vectors_of_any_size_link(spark):
+    near = [1.0, 1.0001, 0.9999]
+    rows = [(1, [1e200, 1e200, 1e200], 0), (2, [1e200, 1e200, 1e200], 0), (3, [3e250, 3e250, 3e250], 0),
+            (4, [x * 1e-200 for x in near], 0), (5, [x * 1e-300 for x in near], 0), (6, [1e200, -1e200, 0.0], 0), (7, [0.0] * 3, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.link_vectors(df).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (0, 6), 7: (0, 7)}
+
+
+def test_columns_with_names_of_the_operators(spark):
+    rows = [(1, "a b c d e f\ng h i j k l", 23, *["x"] * 12), (2, "a b c d e f\nm n o p", 19, *["y"] * 12)]
+    names = ["__id", "__removed", "__hash", "__lines", "__whole", "__cut", "__level0", "__copies", "row", "lines", "removed", "copies"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = lines.drop_repeated_lines(df)
+    assert kept.columns == df.columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"], r["__removed"]) for r in kept.collect()} == {
+        1: (rows[0][1], 23, "x"), 2: ("m n o p", 7, "y")}
+    mixed = mixing.mix(df, [df["__id"], df["row"]], {})
+    assert mixed.columns == df.columns and {r["__copies"] for r in mixed.collect()} <= {"x", "y"}
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample: sizes.append(len(sample)))
+    docs = spark.createDataFrame([(1, f"w{i} x{i}") for i in range(300)] + [(1, "same text")] * 200 + [(i, f"v{i}") for i in range(2, 40)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, sample_rows=10)
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, sample_bytes=100)
+    assert sizes[0] <= 10 and sizes[1] == 301 + 38 and 0 < sizes[2] < 25
