@@ -11,7 +11,7 @@ set of Jaccard similarity 0.8 or more; the earliest stays.
    applies the length filter, the positional filter and a symmetric-difference bound on 64-bit parity signatures,
    all of which are necessary conditions.  An entry that may match the earliest entry of a list (its head) is compared
    with that one only, so that a family of thousands of variants costs a comparison each and not one per pair.
-4. Pairs of entries are verified by the Jaccard similarity of the words themselves.  Entries that no pair has removed
+4. Pairs of entries are verified by the Jaccard similarity of their words.  Entries that no pair has removed
    although one was put off in step 3 are compared with all earlier entries of their lists.
 5. Lines that are a later copy, or that match an earlier entry, are taken out of their texts.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.runtime import materialise
+from reviewlens.runtime import materialise, release
 
 SLOTS = 1 << 16
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7F]+"
@@ -148,20 +148,44 @@ class _Sieve:
         return F.get(self.bits, F.shiftright(slot, 6).cast("int")).bitwiseAND(self._bit(slot)) != 0
 
 
+def _parity(hashes: str, shift: int) -> Column:
+    """Which of 64 bits an odd number of ``hashes`` (an array) set."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.shiftright(h, shift).bitwiseAND(63).cast("int"))))
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ok: the words of both reach the similarity and ``two`` stands later."""
-    wanted = materialise(pairs.select(F.explode(F.array("one", "two")).alias("p")).distinct().select("p.*"))
-    sieve = _Sieve(wanted, "doc", "line")
+    """``pairs`` with ok: the words of both reach the similarity and ``two`` stands later.
+
+    Words are compared by 64-bit hashes: the chance that two different words of a pair of lines of a hundred
+    words meet is below one in a million billion.  Two more signatures settle most pairs before words travel.
+    """
     every = texts.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    every = every.where(sieve.passes(F.col("doc"), F.col("line")))
-    words = materialise(every.join(wanted, PLACE).select(
-        F.struct(*PLACE).alias("place"), words_of(F.col("words")).alias("words")).dropDuplicates(["place"]))
-    joined = (pairs.join(words.select(F.col("place").alias("one"), F.col("words").alias("words1")), "one")
-              .join(words.select(F.col("place").alias("two"), F.col("words").alias("words2")), "two"))
-    same = F.size(F.array_intersect("words1", "words2"))
-    return materialise(joined.select("one", "two", (
-        (9 * same >= 4 * (F.size("words1") + F.size("words2")))
-        & (F.struct("one.doc", "one.line") < F.struct("two.doc", "two.line"))).alias("ok")))
+
+    def places(of: DataFrame) -> DataFrame:
+        return of.select(F.explode(F.array("one", "two")).alias("place")).distinct()
+
+    wanted = materialise(places(pairs).select("place.*"))
+    every = every.where(_Sieve(wanted, "doc", "line").passes(F.col("doc"), F.col("line")))
+    hashed = F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w))
+    words = materialise(every.join(wanted, PLACE).select(F.struct(*PLACE).alias("place"), hashed.alias("words")).dropDuplicates(["place"]).withColumns(
+        {"size": F.size("words"), "p": _parity("words", 20), "q": _parity("words", 34)}))
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return words.select(F.col("place").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+    both = F.col("one_size") + F.col("two_size")
+    far = lambda c: 9 * F.bit_count(F.col(f"one_{c}").bitwiseXOR(F.col(f"two_{c}"))) > both
+    marked = materialise(pairs.join(side("one", "size", "p", "q"), "one").join(side("two", "size", "p", "q"), "two").select(
+        "one", "two", both.alias("both"), (~(far("p") | far("q")) & (F.struct("one.doc", "one.line") < F.struct("two.doc", "two.line"))).alias("close")))
+    close = marked.where("close")
+    sieve = _Sieve(places(close).select("place.*"), "doc", "line")
+    table, words = words, words.where(sieve.passes(F.col("place.doc"), F.col("place.line")))
+    joined = close.join(side("one", "words"), "one").join(side("two", "words"), "two")
+    ok = 9 * F.size(F.array_intersect("one_words", "two_words")) >= 4 * F.col("both")
+    out = materialise(joined.select("one", "two", ok.alias("ok")).union(marked.where("not close").select("one", "two", F.lit(False))))
+    release(wanted, marked, table)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -177,7 +201,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         F.min(F.struct(doc.alias("doc"), F.col("line_no").alias("line"), tie.alias("tie"))).alias("place"),
         F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix")).select(
         "entry", "place.*", "size", "signature", "prefix"))
-    tested = _verified(texts, materialise(_first_pairs(_posted(entries, ties), ties)))
+    pairs = materialise(_first_pairs(_posted(entries, ties), ties))
+    tested = _verified(texts, pairs)
+    release(pairs)
     gone = tested.where("ok").select("two").distinct()
     put_off = materialise(tested.where("not ok").select("two").distinct().join(gone, "two", "left_anti").select("two.*"))
     if not put_off.isEmpty():
@@ -190,7 +216,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     verdict = entries.join(near, PLACE, "left").select("entry", "doc", "line", F.coalesce("near", F.lit(False)).alias("near"))
     lost = lines.select("entry", "doc_id", "text_hash", "line_no").join(verdict, "entry").where(
         F.col("near") | (F.struct(doc, F.col("line_no")) > F.struct("doc", "line")))
-    return materialise(lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    out = materialise(lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    release(lines, entries, tested, put_off)
+    return out
 
 
 def _with_removed(docs: DataFrame) -> DataFrame:
