@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -35,8 +36,7 @@ def tables_folder(spark: SparkSession) -> str:
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete this application's tables; call it when results that still read them have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, tables_folder(spark))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,7 +48,26 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{tables_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+#: Folders of the tables that are still referred to.
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``tables``; call it when all that reads them has itself been written."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 #: Chains of Spark jobs that run at a time.  One chain of short jobs leaves most cores idle.
