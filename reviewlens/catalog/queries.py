@@ -1015,6 +1015,26 @@ def score_fallback(v):
 
 # --- reports --------------------------------------------------------------------------------------
 
+@query("""SELECT 0 AS section, '-inf'::DOUBLE AS place, '' AS name, 0 AS part, '# Ratings that contradict their texts' AS line UNION ALL
+ SELECT 0, '-inf'::DOUBLE, '', 1, '' UNION ALL
+ SELECT DISTINCT 1, 0.0::DOUBLE, contradiction_type, 0, '## ' || contradiction_type FROM {contradicted} WHERE contradiction_type IS NOT NULL UNION ALL
+ SELECT 1, 0.0::DOUBLE, contradiction_type, CAST(n AS INT), '- Rating ' || rating || ', predicted ' || prediction || ': ' || review_title FROM
+ (SELECT *, row_number() OVER (PARTITION BY contradiction_type ORDER BY doc_id) AS n FROM {contradicted} WHERE contradiction_type IS NOT NULL) WHERE n <= 3""")
+def contradiction_report(v):
+    return reports.contradiction_report(reviews.contradiction_examples(predictions(v), [F.col("doc_id")]))
+
+
+@query("""SELECT 0 AS section, '-inf'::DOUBLE AS place, '' AS name, 0 AS part, '# Setups' AS line UNION ALL
+ SELECT 1, -cv, preprocessing, unnest([0, 1, 2]), unnest(['## ' || preprocessing || ' + ' || model, '', '- Cross-validated macro-F1: ' || printf('%.3f', cv)])
+ FROM (SELECT preprocessing, model, round(avg(macro_f1), 6) AS cv FROM {setup_scores} GROUP BY 1, 2)""")
+def setup_report(v):
+    scores = fold_means(v)
+    title = F.concat(F.lit("## "), F.col("preprocessing"), F.lit(" + "), F.col("model"))
+    line = F.concat(F.lit("- Cross-validated macro-F1: "), numbers.fixed(F.col("cv_macro_f1"), 3))
+    return reports.document(reports.heading(scores, 0, "# Setups"),
+                            reports.section(scores, 1, [title, "", line], -F.col("cv_macro_f1"), F.col("preprocessing")))
+
+
 @query("""SELECT "group", 1::INT AS part, product_name, '- ' || product_name || ' (' || review_rows || ' review rows | family: ' || product_family || ')'
  AS line FROM (SELECT *, corrected_category AS "group" FROM {corrected}) UNION ALL
  SELECT corrected_category, 0, '', '### corrected_category: ' || corrected_category || ' (' || count(*) || ' products)' FROM {corrected} GROUP BY 1""")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -19,6 +20,7 @@ from reviewlens.operators.ordering import exact_quantiles, top_per_group
 from reviewlens.operators.taxonomy import cluster_examples, cluster_sizes
 from reviewlens.runtime import materialise, together
 
+log = logging.getLogger(__name__)
 SCAN_SCHEMA = "method string, k int, clusters int, inertia double, elbow_score double, silhouette_score double"
 
 
@@ -103,38 +105,51 @@ def scan_kmeans(vectors: DataFrame, ks: list[int], vector: str = "vector", resta
 
 # --- average linkage ---------------------------------------------------------------
 
-def _nearest_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For every cluster of block A the nearest one of block B, by average cosine distance."""
+def _nearest_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every cluster of block A the nearest one of block B, by average cosine distance, and with ``both`` the reverse."""
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            a = {n: np.array([r[n] for r in row.a]) for n in ("cid", "size")}
-            b = {n: np.array([r[n] for r in row.b]) for n in ("cid", "size")}
-            va = np.array([np.asarray(r["vec"], dtype=float) for r in row.a])
-            vb = np.array([np.asarray(r["vec"], dtype=float) for r in row.b])
-            order = np.argsort(b["cid"], kind="stable")
-            b_cid = b["cid"][order]
-            similarity = va @ vb[order].T / np.outer(a["size"], b["size"][order])
-            distance = np.round(1.0 - similarity, 12)
-            distance[a["cid"][:, None] == b_cid[None, :]] = np.inf
-            best = distance.argmin(axis=1)  # columns are in id order: the lowest id wins ties
-            value = distance[np.arange(len(best)), best]
-            found = np.isfinite(value)
-            yield pd.DataFrame({"cid": a["cid"][found], "near": b_cid[best][found], "distance": value[found]})
-
-
-def nearest_clusters(clusters: DataFrame, block_rows: int, count: int) -> DataFrame:
-    """Nearest other cluster of each cluster (cid, vec = sum of unit rows, size).
-
-    Clusters are hashed into blocks of about ``block_rows``; pairs of *blocks* are
-    formed by an equi-join on the block number and reduced to one row per cluster
-    by a matrix product inside the task.  Pairs of rows never exist as rows.
+        for i in range(batch.num_rows):
+            sides = []
+            for side in "ab":
+                cid, size, vec = (batch.column(f"{side}_{c}")[i].values.to_numpy(zero_copy_only=False) for c in ("cid", "size", "vec"))
+                order = np.argsort(cid, kind="stable")  # in id order: the lowest id wins ties
+                sides.append((cid[order], size[order], vec.reshape(len(cid), -1)[order]))
+            (a, a_size, a_vec), (b, b_size, b_vec) = sides
+            distance = np.round(1.0 - (a_vec @ b_vec.T) / np.outer(a_size, b_size), 12)
+            distance[a[:, None] == b[None, :]] = np.inf
+            for own, other, d in ((a, b, distance), (b, a, distance.T))[:2 if batch.column("both")[i].as_py() else 1]:
+                best = d.argmin(axis=1)
+                value = d[np.arange(len(best)), best]
+                found = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(own[found]), pa.array(other[best][found]), pa.array(value[found])],
+                                                 ["cid", "near", "distance"])
+
+
+def _packed(clusters: DataFrame, blocks: int, side: str) -> DataFrame:
+    """Blocks of clusters as three flat arrays."""
+    items = F.sort_array(F.collect_list(F.struct("cid", "size", "vec")))
+    packed = clusters.groupBy(F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias(f"{side}_block")).agg(items.alias("items"))
+    return packed.select(f"{side}_block", F.col("items.cid").alias(f"{side}_cid"), F.col("items.size").alias(f"{side}_size"),
+                         F.flatten("items.vec").alias(f"{side}_vec"))
+
+
+def nearest_clusters(clusters: DataFrame, block_rows: int, count: int, of: DataFrame | None = None, of_count: int = 0) -> DataFrame:
+    """Nearest other cluster of each cluster (cid, vec = sum of unit rows, size), or of those in ``of`` (cid) only.
+
+    Clusters are hashed into blocks of about ``block_rows``.  Pairs of *blocks* are formed by an equi-join on the block
+    number and reduced to one row per cluster by a matrix product inside the task; pairs of rows never exist as rows.
+    Without ``of`` a pair of blocks is formed once and gives the nearest clusters of both.
     """
     blocks = max(1, -(-count // block_rows))
-    packed = (clusters.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
-              .groupBy("block").agg(F.collect_list(F.struct("cid", "vec", "size")).alias("items")))
-    left = packed.select(F.col("items").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = packed.select("block", F.col("items").alias("b"))
-    found = left.join(right, "block").select("a", "b").mapInPandas(
+    right = _packed(clusters, blocks, "b")
+    if of is None:
+        left = _packed(clusters, blocks, "a").withColumn("b_block", F.explode(F.sequence(F.col("a_block"), F.lit(blocks - 1))))
+    else:
+        searched = clusters.join(of, "cid", "left_semi")
+        left = _packed(searched, max(1, -(-of_count // block_rows)), "a").withColumn(
+            "b_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = (F.col("a_block") != F.col("b_block")) & F.lit(of is None)
+    found = left.join(right, "b_block").select(*[f"{s}_{c}" for s in "ab" for c in ("cid", "size", "vec")], both.alias("both")).mapInArrow(
         _nearest_of_blocks, "cid long, near long, distance double")
     best = F.min(F.struct("distance", "near"))
     return found.groupBy("cid").agg(best.alias("m")).select("cid", "m.near", "m.distance")
@@ -165,8 +180,20 @@ def merge_average_linkage(vectors: DataFrame, id_col: str, vector: str = "vector
     clusters = groups.select("cid", F.transform("vec", lambda x: x * F.col("size")).alias("vec"), "size")
     history: list[DataFrame] = []
     count = clusters.count()
+    near = None
     while count > 1:
-        near = materialise(nearest_clusters(clusters, block_rows, count))
+        if near is None:
+            log.info("searched %d of %d clusters", count, count)
+            near = materialise(nearest_clusters(clusters, block_rows, count))
+        else:
+            # Average linkage is reducible: a merged cluster is never nearer than the nearer of its parts, so that only
+            # clusters that are new, or whose neighbour is no more what it was, have to be searched again.
+            gone = merged.select(F.col("child").alias("cid")).union(merged.select(F.col("parent").alias("cid")))
+            kept = near.join(gone, "cid", "left_anti").join(gone.select(F.col("cid").alias("near")), "near", "left_anti")
+            again = materialise(clusters.select("cid").join(kept, "cid", "left_anti"))
+            open_count = again.count()
+            log.info("searched %d of %d clusters", open_count, count)
+            near = materialise(kept.select("cid", "near", "distance").union(nearest_clusters(clusters, block_rows, count, again, open_count)))
         back = near.select(F.col("cid").alias("near"), F.col("near").alias("cid"))
         pairs = near.join(back, ["cid", "near"]).filter(F.col("cid") < F.col("near"))
         if pairs.isEmpty():  # only possible through floating-point noise: merge the closest pair

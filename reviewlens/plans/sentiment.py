@@ -38,7 +38,8 @@ def run(spark: SparkSession, reviews: DataFrame, out: str, id_col: str = "review
         tuned.append({"preprocessing": method, "model": setting.kind, **setting.parameters(), **values})
         if best is None or values["cv_macro_f1"] > best[0]:
             best = (values["cv_macro_f1"], model, setting, prepared, held)
-    write_table(spark.createDataFrame(tuned), f"{out}/tuned_results")
+    tuned_table = spark.createDataFrame(tuned)
+    write_table(tuned_table, f"{out}/tuned_results")
     write_table(searched, f"{out}/search_results")
 
     _, model, setting, prepared, held = best
@@ -53,6 +54,6 @@ def run(spark: SparkSession, reviews: DataFrame, out: str, id_col: str = "review
     for name, table in results.items():
         write_table(table, f"{out}/{name}")
     examples = contradiction_examples(scored, [F.col(id_col)])
-    write_lines(reports.contradiction_lines(examples), ["contradiction_type", "example"], f"{out}/examples_report")
-    write_lines(reports.model_lines(compared), [F.desc("order_score"), "preprocessing", "model"], f"{out}/model_report")
+    write_lines(reports.contradiction_report(examples), reports.REPORT_KEY, f"{out}/examples_report")
+    write_lines(reports.model_report(compared, tuned_table, results["class_report"]), reports.REPORT_KEY, f"{out}/model_report")
     return {**results, "baseline": compared}

@@ -229,3 +229,42 @@ def test_saved_taxonomy_keeps_its_first_row(spark, tmp_path):
         write_table(table, f"{tmp_path}/{fmt}", fmt)
         got = evidence.product_evidence(scored, read_taxonomy(spark, f"{tmp_path}/{fmt}", fmt))
         assert {r["product_name"]: r["cluster_id"] for r in got.collect()} == {"a": 9, "b": 2}
+
+
+def test_linkage_searches_only_what_changed(spark, caplog):
+    from test_operators import sequential_average_linkage
+
+    from reviewlens.operators import clustering
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+    with caplog.at_level("INFO"):
+        members, merges = clustering.merge_average_linkage(df, "id", block_rows=11)
+    searched = [tuple(map(int, r.getMessage().split()[1:4:2])) for r in caplog.records if r.getMessage().startswith("searched")]
+    assert searched[0] == (40, 40) and any(a < b for a, b in searched) and all(a <= b for a, b in searched)
+    labels = clustering.cut_merges(members, merges, [3, 8]).collect()
+    for k in (3, 8):
+        found = {}
+        for r in labels:
+            if r["k"] == k:
+                found.setdefault(r["cluster_id"], set()).add(r["id"])
+        assert {frozenset(s) for s in found.values()} == sequential_average_linkage(x, k)
+
+
+def test_report_of_keyed_sections(spark, tmp_path):
+    from reviewlens.sources import reports
+    from reviewlens.sources.tables import write_lines
+    columns = "preprocessing string, model string, cv_macro_f1 double, accuracy double, macro_f1 double, weighted_f1 double, " + ", ".join(
+        f"{c}_{m} double" for c in ("negative", "neutral", "positive") for m in ("precision", "recall", "f1"))
+    rows = [("stem", "SVM", 0.7, 0.9, 0.71, 0.8, *[0.5] * 9), ("raw", "NB", 0.8, 0.9, 0.72, 0.8, *[0.25] * 9)]
+    results = spark.createDataFrame(rows, columns)
+    tuned = results.withColumn("c", F.lit(0.5)).withColumn("min_df", F.lit(2))
+    classes = spark.createDataFrame([("positive", 0.9, 0.8, 0.85, 10), ("negative", 0.5, 0.4, 0.45, 3)],
+                                    "class string, precision double, recall double, f1 double, support long")
+    write_lines(reports.model_report(results, tuned, classes), reports.REPORT_KEY, f"{tmp_path}/r")
+    text = [r["value"] for r in spark.read.text(f"{tmp_path}/r").collect()]
+    assert text[0] == "# Models by cross-validated macro-F1" and text[2] == "## raw + tfidf + NB"
+    assert text.index("## raw + tfidf + NB") < text.index("## stem + tfidf + SVM") < text.index("# Tuned setups") < text.index("# Best setup")
+    assert "| 1 | raw | NB | 0.800 | 0.720 |" in text and "- min_df: 2" in text and "| neutral | 0.250 | 0.250 | 0.250 |" in text
+    assert text[-2:] == ["| negative | 0.500 | 0.400 | 0.450 | 3 |", "| positive | 0.900 | 0.800 | 0.850 | 10 |"]
