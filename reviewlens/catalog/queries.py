@@ -728,6 +728,18 @@ def pca_shares(v):
     return clustering.component_pairs(shares)
 
 
+@query("""SELECT vec_id, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: (a[i] - m[i]) * (b[i] - m[i]))), 6) AS product FROM
+ (SELECT vec_id, embedding::DOUBLE[] AS a FROM {embeddings}) JOIN (SELECT vec_id - 1 AS vec_id, embedding::DOUBLE[] AS b FROM {embeddings}) USING (vec_id),
+ (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+  FROM {embeddings}) GROUP BY i))""")
+def pca_products(v):
+    coordinates, _ = clustering.pca_coordinates(vectors_of(v), "vec_id", components=1 << 20)
+    coordinates = materialise(coordinates)
+    later = coordinates.select((F.col("vec_id") - 1).alias("vec_id"), F.col("coordinates").alias("later"))
+    product = F.aggregate(F.zip_with("coordinates", "later", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return coordinates.join(later, "vec_id").select("vec_id", (F.round(product, 6) + F.lit(0.0)).alias("product"))
+
+
 @query()
 def pca_coordinates(v):
     coordinates, _ = clustering.pca_coordinates(vectors_of(v), "vec_id")
@@ -777,6 +789,17 @@ def naive_bayes_metrics(v):
     return _trained(v, kind="Naive Bayes")
 
 
+@query("""SELECT doc_id, arg_max(label, score) AS prediction FROM (SELECT x.doc_id, c.label, ln(c.n + 1) + coalesce(sum(w.weight *
+ (ln(coalesce(s.s, 0) + 1) - ln(c.total + (SELECT count(*) FROM {vocab})))), 0) AS score FROM (SELECT doc_id FROM {reviews}) x
+ CROSS JOIN (SELECT label, count(DISTINCT doc_id) AS n, coalesce(sum(weight), 0) AS total FROM {reviews} LEFT JOIN {tfidf} USING (doc_id) GROUP BY label) c
+ LEFT JOIN {tfidf} w ON w.doc_id = x.doc_id LEFT JOIN (SELECT label, term, sum(weight) AS s FROM {tfidf} JOIN {reviews} USING (doc_id) GROUP BY 1, 2) s
+ ON s.label = c.label AND s.term = w.term GROUP BY x.doc_id, c.label, c.n) GROUP BY doc_id""")
+def naive_bayes_predictions(v):
+    rows = materialise(text_reviews(v).select("doc_id", "text", "label"))
+    settings = sentiment.Settings(kind="Naive Bayes", vectorizer=features.TextVectorizer(min_df=2, max_df=0.9, max_features=15000))
+    return sentiment.train(rows, settings, "text").transform(rows, "text").select("doc_id", "prediction")
+
+
 @query()
 def forest_metrics(v):
     return _trained(v, kind="Random Forest")

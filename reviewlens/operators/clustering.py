@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.fixed_values import CLUSTER_NOTE
+from reviewlens.operators.features import canonical_signs
 from reviewlens.operators.ordering import exact_quantiles, top_per_group
 from reviewlens.operators.taxonomy import cluster_examples, cluster_sizes
 from reviewlens.runtime import materialise, together
@@ -281,13 +282,16 @@ def best_k(scan: DataFrame) -> DataFrame:
 # --- summaries ---------------------------------------------------------------------
 
 def pca_coordinates(vectors: DataFrame, id_col: str, vector: str = "vector", components: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Centred PCA coordinates per row and the explained share per component."""
+    """Centred PCA coordinates per row and the explained share per component; the largest loading of an axis is positive."""
     shaped = vectors.select(id_col, array_to_vector(F.col(vector)).alias("raw"))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(shaped)
     k = min(components, scaler.mean.size)
     centred = scaler.transform(shaped)
     model = PCA(k=k, inputCol="centred", outputCol="pc").fit(centred)
-    coordinates = model.transform(centred).select(id_col, vector_to_array("pc").alias("coordinates"))
+    axes = model.pc.toArray()
+    signs = F.array(*[F.lit(float(x)) for x in np.sign((axes * canonical_signs(axes)).sum(axis=0))])
+    turned = F.zip_with(vector_to_array("pc"), signs, lambda x, s: x * s)
+    coordinates = model.transform(centred).select(id_col, turned.alias("coordinates"))
     shares = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
     return coordinates, vectors.sparkSession.createDataFrame(shares, "component int, explained_share double")
 

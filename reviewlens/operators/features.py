@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.functions.text import basic_clean, ngrams, raw_tokens, word_tokens
+from reviewlens.operators.joins import lookup_join
 from reviewlens.runtime import materialise
 
 
@@ -24,14 +26,14 @@ def normalize_tokens(df: DataFrame, id_col: str, text_col: str, table: DataFrame
                      keep_underscore: bool = False) -> DataFrame:
     """Replace every token of the cleaned text by its normal form from ``table`` (token, normal).
 
-    Tokens without an entry stay.  The table is written once and restricted to tokens that change; the join
-    strategy follows from its written size.  Only changes come back to the texts: per document a map
+    Tokens without an entry stay.  The table is written once and restricted to tokens that change.  Tokens that stand
+    in many texts are looked up without a shuffle.  Only changes come back to the texts: per document a map
     from position to normal form.
     """
     unique = materialise(table.groupBy("token").agg(F.min("normal").alias("normal")).filter("token <> normal"))
     tokens = F.split(basic_clean(F.col(text_col), keep_underscore), " ")
     exploded = df.select(id_col, F.posexplode(tokens).alias("pos", "token"))
-    changes = exploded.join(unique, "token").groupBy(id_col).agg(
+    changes = lookup_join(exploded, unique, "token").groupBy(id_col).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "normal"))).alias("_changes"))
     changed = F.transform(tokens, lambda t, i: F.coalesce(F.col("_changes")[i], t))
     joined = df.join(changes, id_col, "left")
@@ -249,7 +251,7 @@ def svd_features(df: DataFrame, key: str, features: str = "features", components
         dense = df.select(key, vector_array(features).alias("a"))
         return dense.select(key, unit_array(F.col("a")).alias(out))
     rows = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features), features))
-    directions = rows.computeSVD(k, computeU=False).V.toArray()
+    directions = canonical_signs(rows.computeSVD(k, computeU=False).V.toArray())
     table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(directions)],
                                   "index int, direction array<double>")
     entries = df.select(key, F.explode(F.arrays_zip(parts["indices"].alias("index"),
@@ -264,6 +266,12 @@ def svd_features(df: DataFrame, key: str, features: str = "features", components
     return full.select(key, unit_array(array).alias(out))
 
 
+def canonical_signs(directions: np.ndarray) -> np.ndarray:
+    """Directions (columns) with the sign that makes the largest loading positive, the first one on a tie."""
+    largest = np.abs(directions).argmax(axis=0)
+    return directions * np.where(directions[largest, np.arange(directions.shape[1])] < 0, -1.0, 1.0)
+
+
 def vector_array(column: str) -> Column:
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(F.col(column))

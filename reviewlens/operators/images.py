@@ -9,6 +9,7 @@ from reviewlens.functions import fixed_values as fixed
 from reviewlens.functions import names
 from reviewlens.functions.images import best_url
 from reviewlens.functions.text import has_all, strip
+from reviewlens.operators.joins import lookup_join
 from reviewlens.runtime import materialise
 
 
@@ -81,7 +82,9 @@ def exact_matches(products: DataFrame, lookup: DataFrame, id_col: str, match_emp
     wanted = products.select(id_col, F.posexplode(keys).alias("pos", "key"))
     if not match_empty:
         wanted = wanted.filter(F.length("key") > 0)
-    hits = wanted.join(lookup.select("key", "url"), "key")
+    # a key is looked up once, whatever the number of products that share it
+    known = materialise(wanted.select("key").distinct().join(lookup.select("key", "url"), "key"))
+    hits = lookup_join(wanted, known, "key")
     return hits.groupBy(id_col).agg(F.min_by("url", "pos").alias("image_url"))
 
 
@@ -116,11 +119,11 @@ def loose_matches(products: DataFrame, lookup: DataFrame, id_col: str) -> DataFr
 
     product_sets = wanted.select("tokens").distinct()
     image_sets = offered.groupBy("tokens").agg(F.min("ord").alias("ord"), F.min_by("url", "ord").alias("url"))
-    token_use = image_sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    token_use = materialise(image_sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("uses")))
 
     def ordered(sets: DataFrame) -> DataFrame:
         """Tokens of every set that occur in the lookup, rare first."""
-        exploded = sets.select("tokens", F.explode("tokens").alias("token")).join(token_use, "token")
+        exploded = lookup_join(sets.select("tokens", F.explode("tokens").alias("token")), token_use, "token")
         return exploded.groupBy("tokens").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("uses", "token"))), lambda x: x["token"]).alias("known"))
 

@@ -268,3 +268,28 @@ def test_report_of_keyed_sections(spark, tmp_path):
     assert text.index("## raw + tfidf + NB") < text.index("## stem + tfidf + SVM") < text.index("# Tuned setups") < text.index("# Best setup")
     assert "| 1 | raw | NB | 0.800 | 0.720 |" in text and "- min_df: 2" in text and "| neutral | 0.250 | 0.250 | 0.250 |" in text
     assert text[-2:] == ["| negative | 0.500 | 0.400 | 0.450 | 3 |", "| positive | 0.900 | 0.800 | 0.850 | 10 |"]
+
+
+def test_lookup_join_with_hot_and_missing_keys(spark):
+    from reviewlens.operators.joins import lookup_join
+    keys = ["hot"] * 500 + ["gone"] * 300 + [f"k{i % 40}" for i in range(200)] + [None] * 20
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    table = spark.createDataFrame([("hot", 1), ("unused", 2), (None, 3), *((f"k{i}", 10 + i) for i in range(0, 40, 2))], "key string, v int")
+    expected = {(i, k, v) for i, k in enumerate(keys) for t, v in map(tuple, table.collect()) if t == k and k is not None}
+    for frequent in (1, 3, 1000):
+        got = lookup_join(rows, table, "key", frequent)
+        assert got.columns == ["id", "key", "v"] and sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_axes_have_one_sign(spark):
+    from reviewlens.operators import clustering
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 4)) * [5, 3, 2, 1]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+    coordinates, shares = clustering.pca_coordinates(df, "id", components=3)
+    centred = x - x.mean(axis=0)
+    _, s, axes = np.linalg.svd(centred, full_matrices=False)
+    axes = features.canonical_signs(axes.T)[:, :3]
+    got = np.array([r["coordinates"] for r in coordinates.orderBy("id").collect()])
+    assert np.allclose(got, centred @ axes) and np.allclose([r["explained_share"] for r in shares.orderBy("component").collect()],
+                                                           (s ** 2 / (s ** 2).sum())[:3])
