@@ -134,10 +134,10 @@ class _Sieve:
 
     def __init__(self, keys: DataFrame, *columns: str):
         slot = F.xxhash64(*columns).bitwiseAND(64 * SLOTS - 1)
-        found = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-            F.bit_or(self._bit(F.col("slot"))).alias("bits")).collect()  # SLOTS rows at most
-        bits = {r["word"]: r["bits"] for r in found}
-        self.bits = F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(SLOTS))), ",").cast("array<bigint>")
+        found = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(self._bit(F.col("slot"))).alias("bits"))
+        words = keys.sparkSession.range(SLOTS).join(found, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+        # one value of fixed size, which the plan takes in when it runs
+        self.bits = words.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("w")).select("w.bits").scalar()
 
     @staticmethod
     def _bit(slot: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm import texts
-from reviewlens.runtime import materialise
+from reviewlens.runtime import materialise, release
 
 FEATURE_BITS = 20
 #: Bound of the training sample, in labelled rows.
@@ -84,11 +84,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
             break
         last = r
     if last is None:
+        release(made)
         return fit([])
     cut = F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(made.schema[c].dataType).alias(c) for c in order])
     table = made.where(cut).dropDuplicates(order).select(*order, "keys").toArrow().sort_by([(c, "ascending") for c in order])
     keys = table.column("keys").combine_chunks()
-    return fit([(np.frombuffer(k.as_buffer(), np.int32), y) for k, y in zip(keys, table.column("toxic").to_pylist())])
+    try:
+        return fit([(np.frombuffer(k.as_buffer(), np.int32), y) for k, y in zip(keys, table.column("toxic").to_pylist())])
+    finally:
+        del table, keys
+        release(made)
+        pa.default_memory_pool().release_unused()
 
 
 def fit(sample: list[tuple[np.ndarray, int]]) -> Model:
