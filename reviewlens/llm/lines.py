@@ -25,6 +25,7 @@ from reviewlens.runtime import materialise, release
 
 SLOTS = 1 << 16
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7F]+"
+WORD_CHARACTER = r"[^\x00-/:-@\[-`{-\x7F]"
 #: A place: document, line, and a tie-break that is 0 unless rows with different texts share a doc_id.
 PLACE = ["doc", "line", "tie"]
 FIRST = -(1 << 63)
@@ -47,23 +48,30 @@ def _slot(word_hash: Column) -> Column:
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """One number per slot, larger for more words: four times the binary logarithm of the slot's word count, in the top byte."""
+    """One number per slot, larger for more words: four times the binary logarithm of the slot's word count, in the top byte.
+
+    The numbers stay in the plan as one value of ``SLOTS`` entries and never pass the driver's Python or a plan's text.
+    """
     slots = texts.select(F.explode(F.split(F.lower("text"), SEPARATORS)).alias("word")).select(
-        _slot(F.xxhash64("word")).alias("slot")).groupBy("slot").agg(
-        F.least(F.floor(4 * F.log2(F.count("*") + 1)), F.lit(126)).cast("int").alias("n"))
-    known = {r["slot"]: r["n"] for r in slots.collect()}  # SLOTS rows at most
-    # folded into one array literal, from which a look-up is cheap
-    return F.split(F.lit(",".join(str(1 + known.get(i, 0) << 56) for i in range(SLOTS))), ",").cast("array<bigint>")
+        _slot(F.xxhash64("word")).alias("id")).groupBy("id").agg(
+        F.least(F.floor(4 * F.log2(F.count("*") + 1)), F.lit(126)).cast("long").alias("n"))
+    every = texts.sparkSession.range(SLOTS).join(slots, "id", "left").select(
+        "id", F.shiftleft(1 + F.coalesce("n", F.lit(0).cast("long")), 56).alias("rarity"))
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", "rarity"))).alias("all")).select("all.rarity").scalar()
 
 
 def _lines(texts: DataFrame, rarity: Column) -> DataFrame:
     """doc_id, text_hash, line_no and the line's word set: entry (its hash), size, signature and prefix of rare words."""
     # A word's code: its slot's rarity above 56 bits of its hash, so that sorting puts rare words first.
-    code = lambda h: F.get(rarity, _slot(h)).bitwiseOR(F.shiftrightunsigned(h, 8))
-    rows = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    code = lambda h: F.coalesce(F.get("rarity", _slot(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # the digest is taken once per text, below the lines; a line without words is told by its first other character,
+    # since a filter on the codes would be pushed below and cut every line twice
+    rows = texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).select(
+        "doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD_CHARACTER))
+    rows = rows.withColumn("rarity", rarity)  # a sub-query may not stand inside a lambda
     words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    rows = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(hashes, code)).alias("codes")).where(F.size("codes") > 0)
+    rows = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(hashes, code)).alias("codes"))
     return rows.select(
         "doc_id", "text_hash", "line_no", F.xxhash64("codes").alias("entry"), F.size("codes").alias("size"),
         F.aggregate("codes", F.lit(0).cast("long"),
