@@ -8,8 +8,8 @@ set of Jaccard similarity 0.8 or more; the earliest stays.
 2. Lines with equal sets are one entry with its first place (pre-aggregated, so a line that makes up a third of
    all lines leaves each task once).
 3. Prefix filter: entries that match share one of their rarest ``size/5 + 1`` words.  The join on such a word also
-   applies the length filter, the positional filter and a symmetric-difference bound on 64-bit parity signatures,
-   all of which are necessary conditions.  An entry that may match the earliest entry of a list (its head) is compared
+   applies the length filter, the positional filter and a symmetric-difference bound on parity signatures of 64 bits
+   (256 for long lines), all of which are necessary conditions.  An entry that may match the earliest entry of a list (its head) is compared
    with that one only, so that a family of thousands of variants costs a comparison each and not one per pair.
 4. Pairs of entries are verified by the Jaccard similarity of their words.  Entries that no pair has removed
    although one was put off in step 3 are compared with all earlier entries of their lists.
@@ -18,6 +18,8 @@ set of Jaccard similarity 0.8 or more; the earliest stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ PLACE = ["doc", "line", "tie"]
 FIRST = -(1 << 63)
 #: Bits of a posting's size and position; larger ones only weaken the filters.
 SIZE_BITS, AT_BITS = 18, 13
+#: From so many words on, the parity signature of 64 bits says little and one of 256 bits is kept beside it.
+WIDE = 112
+LANES = ["lane1", "lane2", "lane3"]
 MOST_SIZE, MOST_AT = (1 << SIZE_BITS) - 1, (1 << AT_BITS) - 1
 
 
@@ -61,8 +66,13 @@ def _rarity(texts: DataFrame) -> Column:
 
 
 def _lines(texts: DataFrame, rarity: Column) -> DataFrame:
-    """doc_id, text_hash, line_no and the line's word set: entry (its hash), size, signature and prefix of rare words."""
+    """doc_id, text_hash, line_no and the line's word set: entry (its hash), size, signature, lanes and prefix of rare words.
+
+    A word toggles one of 256 bits, dealt to four lanes of 64.  ``signature`` is the lanes' exclusive or; ``LANES`` hold
+    three of them, from which the fourth follows, and are null for lines of fewer than ``WIDE`` words.
+    """
     # A word's code: its slot's rarity above 56 bits of its hash, so that sorting puts rare words first.
+    # Never null, so that they sort as plain numbers.
     code = lambda h: F.coalesce(F.get("rarity", _slot(h)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))
     # the digest is taken once per text, below the lines; a line without words is told by its first other character,
     # since a filter on the codes would be pushed below and cut every line twice
@@ -72,10 +82,12 @@ def _lines(texts: DataFrame, rarity: Column) -> DataFrame:
     words = F.array_remove(F.split(F.lower("line"), SEPARATORS), "")
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
     rows = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(hashes, code)).alias("codes"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+    lane = lambda i: parity(F.filter("codes", lambda c: F.shiftright(c, 6).bitwiseAND(3) == i))
     return rows.select(
-        "doc_id", "text_hash", "line_no", F.xxhash64("codes").alias("entry"), F.size("codes").alias("size"),
-        F.aggregate("codes", F.lit(0).cast("long"),
-                    lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))).alias("signature"),
+        "doc_id", "text_hash", "line_no", F.xxhash64("codes").alias("entry"), F.size("codes").alias("size"), parity("codes").alias("signature"),
+        *[F.when(F.size("codes") >= WIDE, lane(i)).alias(name) for i, name in enumerate(LANES, 1)],
         # 32 bits suffice to meet on: the filters and the verification follow
         F.transform(F.slice("codes", F.lit(1), F.floor(F.size("codes") / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"))
 
@@ -86,20 +98,28 @@ def _pack(line: Column, size: Column, at: Column) -> Column:
         F.shiftleft(F.least(size, F.lit(MOST_SIZE)).cast("long"), AT_BITS)).bitwiseOR(F.least(at, F.lit(MOST_AT)).cast("long"))
 
 
-def _may_match(pack: Column, signature: Column, pack2: Column, signature2: Column) -> Column:
+#: What the filters read of a posting.
+FILTERED = ["pack", "signature", *LANES]
+
+
+def _may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """Necessary conditions for two entries with a common prefix word: length, position, symmetric difference."""
-    size, size2 = (F.shiftright(p, AT_BITS).bitwiseAND(MOST_SIZE) for p in (pack, pack2))
-    at, at2 = (p.bitwiseAND(MOST_AT) for p in (pack, pack2))
+    size, size2 = (F.shiftright(side("pack"), AT_BITS).bitwiseAND(MOST_SIZE) for side in (a, b))
+    at, at2 = (side("pack").bitwiseAND(MOST_AT) for side in (a, b))
     both = size + size2
+    folded = a("signature").bitwiseXOR(b("signature"))
+    lanes = [a(c).bitwiseXOR(b(c)) for c in LANES]
+    last = folded.bitwiseXOR(lanes[0]).bitwiseXOR(lanes[1]).bitwiseXOR(lanes[2])
+    differ = sum((F.bit_count(x) for x in lanes), F.bit_count(last))
     return (F.greatest(size, size2) == MOST_SIZE) | (
         (5 * F.least(size, size2) >= 4 * F.greatest(size, size2)) & (9 * F.least(size - at, size2 - at2) >= 4 * both)
-        & (9 * F.bit_count(signature.bitwiseXOR(signature2)) <= both))
+        & (9 * F.bit_count(folded) <= both) & F.coalesce(9 * differ <= both, F.lit(True)))
 
 
 def _posted(entries: DataFrame, ties: bool) -> DataFrame:
     # no other set of fewer than four words reaches the similarity, but its own, which is the same entry
-    rows = entries.where("size >= 4 and signature is not null").select(*PLACE, "size", "signature", F.posexplode("prefix").alias("at", "code"))
-    return rows.select("code", "doc", _pack(F.col("line"), F.col("size"), F.col("at")).alias("pack"), "signature", *["tie"] * ties)
+    rows = entries.where("size >= 4 and signature is not null").select(*PLACE, "size", "signature", *LANES, F.posexplode("prefix").alias("at", "code"))
+    return rows.select("code", "doc", _pack(F.col("line"), F.col("size"), F.col("at")).alias("pack"), "signature", *LANES, *["tie"] * ties)
 
 
 def _place(side: str, ties: bool) -> Column:
@@ -114,8 +134,7 @@ def _pairs(a: DataFrame, b: DataFrame, ties: bool, more: Column | None = None) -
     Of two texts with one doc_id, lines with the same number never remove each other, whichever stands first here.
     """
     before = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.pack") < F.col("b.pack")))
-    condition = (F.col("a.code") == F.col("b.code")) & before & _may_match(
-        *[F.col(f"{x}.{c}") for x in "ab" for c in ("pack", "signature")])
+    condition = (F.col("a.code") == F.col("b.code")) & before & _may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
     joined = a.alias("a").join(b.alias("b"), condition if more is None else condition & more)
     return joined.select(_place("a", ties).alias("one"), _place("b", ties).alias("two")).distinct()
 
@@ -125,9 +144,8 @@ def _first_pairs(posted: DataFrame, ties: bool) -> DataFrame:
     # column by column, so that both sides of the join read one and the same exchange
     key = ["doc", "pack", *["tie"] * ties]
     order = Window.partitionBy("code").orderBy(*key)
-    near = posted.withColumns({f"head_{c}": F.first(c).over(order) for c in [*key, "signature"]})
-    near = near.withColumn("near", _may_match(*[F.col(f"{side}{c}") for side in ("head_", "") for c in ("pack", "signature")]))
-    near = near.drop("head_signature")
+    near = posted.withColumns({f"head_{c}": F.first(c).over(order) for c in dict.fromkeys([*key, *FILTERED])})
+    near = near.withColumn("near", _may_match(lambda c: F.col(f"head_{c}"), F.col)).drop(*[f"head_{c}" for c in FILTERED if c not in key])
     is_head = F.lit(True)
     for c in key:
         is_head = is_head & (F.col(f"a.{c}") == F.col(f"b.head_{c}"))
@@ -207,8 +225,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     texts = texts.select(doc.alias("doc"), "text", F.xxhash64("text").alias("text_hash")).select("doc", "text", tie.alias("tie"))
     entries = materialise(lines.groupBy("entry").agg(
         F.min(F.struct(doc.alias("doc"), F.col("line_no").alias("line"), tie.alias("tie"))).alias("place"),
-        F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("prefix").alias("prefix")).select(
-        "entry", "place.*", "size", "signature", "prefix"))
+        F.first("size").alias("size"), F.first("signature").alias("signature"), *[F.first(c).alias(c) for c in LANES],
+        F.first("prefix").alias("prefix")).select("entry", "place.*", "size", "signature", *LANES, "prefix"))
     pairs = materialise(_first_pairs(_posted(entries, ties), ties))
     tested = _verified(texts, pairs)
     release(pairs)
