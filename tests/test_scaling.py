@@ -4,7 +4,7 @@ import tracemalloc
 
 import numpy as np
 
-from reviewlens.operators import boosting
+from reviewlens.operators import boosting, clustering
 
 
 def test_a_split_is_found_without_copying_the_columns():
@@ -22,3 +22,20 @@ def test_nodes_follow_the_splits():
     columns = boosting._Columns(np.array([0, 70000, 0, 1, 70000], np.int64), np.array([1, 3, 2, 1, 1], np.uint8), np.array([0, 2, 4, 5, 5]))
     tree = boosting.Tree({1: (0, 2), 2: (70000, 2)})
     assert columns.nodes(tree).tolist() == [5, 3, 4, 4]
+
+
+def test_merging_sends_no_large_table_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+
+    def found():
+        members, merges = clustering.merge_average_linkage(vectors, "vec_id", block_rows=4)
+        labels = clustering.cut_merges(members, merges, [2, 3])
+        return sorted(map(tuple, members.collect())), sorted(map(tuple, merges.collect())), sorted(map(tuple, labels.collect())), members
+
+    before = found()
+    monkeypatch.setattr(clustering, "SENT_ROWS", 0)
+    after = found()
+    assert after[:3] == before[:3]
+    assert "Broadcast" not in after[3]._jdf.queryExecution().executedPlan().toString()
