@@ -167,8 +167,12 @@ def joined_words(text: Column) -> Column:
 
 def spread(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` in tasks of at most about ``TASK_BYTES`` of text, however its files are cut."""
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return df.repartition(1 + size // TASK_BYTES, F.xxhash64(*df.columns))
+    return df.repartition(text_tasks(df, text_col), F.xxhash64(*df.columns))
+
+
+def text_tasks(df: DataFrame, text_col: str) -> int:
+    """Tasks that hold the texts: their number grows with the input."""
+    return 1 + (df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // TASK_BYTES
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -261,8 +265,11 @@ def gram_counts(df: DataFrame, key: str, text_col: str, low: int = 1, high: int
                         yield pa.RecordBatch.from_arrays([keys.take(pa.array(where[j])), strings.take(pa.array(which[j])), pa.array(tf[j], pa.int64())],
                                                          [key, "term", "tf"])
 
-    rows = spread(df.select(key, text_col), text_col).select(key, joined_words(F.col(text_col)).alias("words"))
+    tasks = text_tasks(df, text_col)
+    rows = df.select(key, text_col).repartition(tasks, F.xxhash64(key, text_col)).select(key, joined_words(F.col(text_col)).alias("words"))
     counted = rows.mapInArrow(run, T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+    if among is not None:  # few rows a text: dealt by key once, which also serves a norm by key, in as many parts as the texts
+        counted = counted.repartition(tasks, key)
     return counted.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
