@@ -32,6 +32,8 @@ KEPT_WORDS = 1_000_000
 KEPT_BYTES = 64
 #: Words of up to so many bytes merge side by side.
 FOREST = 64
+#: What a Python worker holds of the texts at a time, and the words it keeps: every core of an executor has such a worker.
+CHUNK_BYTES, TABLE_WORDS = 1 << 19, 1 << 17
 
 
 class PairTree:
@@ -256,33 +258,24 @@ def _parts(text: str) -> dict:
 
 
 class Spelled(WordTable):
-    """Words with their ids, the ids written out and the bytes that the ids decode to."""
+    """Words with their ids.  What an id is written as and decodes to stands in two tables as long as the vocabulary, so
+    that a word costs no more than its ids and both spellings of a chunk are gathered natively."""
 
     def __init__(self, coder: ByteBpe):
         self.bpe = coder
-        super().__init__(coder.merge_all)
-
-    def _clear(self) -> None:
-        super()._clear()
-        self.written: list[bytes] = []
-        self.decoded: list[bytes] = []
-
-    def _add(self, words: list[bytes]) -> None:
-        low, first = self.used, self.words
-        super()._add(words)
-        at, ids, pieces = (self.at[first:self.words + 1] - low).tolist(), self.flat[low:self.used].tolist(), self.bpe.pieces
-        self.written += [b"%s," % ",".join(map(str, ids[a:b])).encode() for a, b in zip(at, at[1:])]
-        self.decoded += [b"".join(map(pieces.__getitem__, ids[a:b])) for a, b in zip(at, at[1:])]
-
-    def spell(self, coded: Coded, words: list[bytes]) -> list[memoryview]:
-        """Each text with ``words`` (written or decoded) in place of its own words."""
-        if not len(coded.codes):
-            return [memoryview(b"")] * (len(coded.first) - 1)
-        own = pa.array([words[i] for i in coded.distinct], pa.large_binary()).take(pa.array(coded.codes))
-        _, borders, data = own.buffers()
-        at = np.frombuffer(borders, np.int64)[coded.first].tolist()
-        data = memoryview(data if data is not None else b"")
-        return [data[low:high] for low, high in zip(at, at[1:])]
+        every = range(max(coder.pieces, default=-1) + 1)
+        self.written = pa.array([b"%d," % i for i in every], pa.large_binary())
+        self.decoded = pa.array([coder.pieces.get(i, b"") for i in every], pa.large_binary())
+        super().__init__(coder.merge_all, TABLE_WORDS)
+
+
+def spell(ids: np.ndarray, first: np.ndarray, spelling: pa.Array) -> list[memoryview]:
+    """Each text with its ids written or decoded, end to end."""
+    own = spelling.take(pa.array(ids))
+    _, borders, data = own.buffers()
+    at = np.frombuffer(borders, np.int64)[first].tolist() if len(ids) else [0] * len(first)
+    data = memoryview(data if data is not None else b"")
+    return [data[low:high] for low, high in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -300,7 +293,7 @@ def _over(docs: DataFrame, path: str, columns, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shipped.value)
         coder = table.bpe
-        for part in texts.chunks(batches):
+        for part in texts.chunks(batches, size=CHUNK_BYTES):
             column = part.column("text")
             special = {}
             for content in coder.added:
@@ -329,9 +322,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Strings of added tokens become their ids, as the tokenizers library has it.
     """
     def columns(coder: ByteBpe, table: Spelled, coded: Coded, special: dict[int, list[int]]):
-        sizes = table.sizes(coded)
-        ids = [hashlib.sha256(x[:-1]).hexdigest() for x in table.spell(coded, table.written)]
-        decoded = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in table.spell(coded, table.decoded)]
+        flat, first = table.ids(coded)
+        sizes = np.diff(first)
+        ids = [hashlib.sha256(x[:-1]).hexdigest() for x in spell(flat, first, table.written)]
+        decoded = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in spell(flat, first, table.decoded)]
         for i, own in special.items():
             sizes[i] = len(own)
             ids[i] = hashlib.sha256(",".join(map(str, own)).encode()).hexdigest()

@@ -29,7 +29,8 @@ def _classes() -> np.ndarray:
     """Class of every code point."""
     import regex
 
-    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    # made from bytes: a string per code point would take 80 MB for a moment, in every worker
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for found in regex.finditer(pattern, every):
@@ -121,10 +122,13 @@ class Coded(NamedTuple):
 
 
 class WordTable:
-    """Numbers words and keeps their ids; ``coder`` gives the ids of a list of words (bytes), end to end, and each word's count."""
+    """Numbers words and keeps their ids; ``coder`` gives the ids of a list of words (bytes), end to end, and each word's count.
 
-    def __init__(self, coder: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.coder = coder
+    Beyond ``most`` words (``KEPT_WORDS`` without it) it forgets all and begins again.
+    """
+
+    def __init__(self, coder: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int | None = None):
+        self.coder, self.most = coder, most
         self._clear()
 
     def _clear(self) -> None:
@@ -153,7 +157,7 @@ class WordTable:
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, borders, pa.py_buffer(np.ascontiguousarray(data))])
         encoded = words.dictionary_encode()
         distinct = encoded.dictionary.to_pylist()
-        if self.words > KEPT_WORDS or self.used > KEPT_IDS:
+        if self.words > (self.most or KEPT_WORDS) or self.used > KEPT_IDS:
             self._clear()
         new = [w for w in distinct if w not in self.known]
         if new:

@@ -327,6 +327,29 @@ def test_segment_tree_merges_like_a_scan():
     assert b"".join(map(coder.pieces.__getitem__, coder.merge(b"ab" * 20000))) == b"ab" * 20000
 
 
+def test_encoder_worker_holds_little():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from reviewlens.llm import pieces
+
+    pieces._classes.cache_clear()
+    tracemalloc.start()
+    pieces._classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    table = bpe.Spelled(bpe.ByteBpe(bpe.load(VOCABULARY)))
+    before = tracemalloc.get_traced_memory()[0]
+    for i in range(8):
+        table.code(pa.array([" ".join(f"w{j:x}z" for j in range(i * 10000, i * 10000 + 10000))]))
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert peak < 40 << 20 and kept < 20 << 20
+    table.most = 1000  # forgets all and begins again
+    table.code(pa.array(["a b c"]))
+    assert table.words == 3
+
+
 # --- 7 -----------------------------------------------------------------------------------
 
 def license_rows(text):
