@@ -293,3 +293,28 @@ def test_axes_have_one_sign(spark):
     got = np.array([r["coordinates"] for r in coordinates.orderBy("id").collect()])
     assert np.allclose(got, centred @ axes) and np.allclose([r["explained_share"] for r in shares.orderBy("component").collect()],
                                                            (s ** 2 / (s ** 2).sum())[:3])
+
+
+def test_linear_passes_read_packed_rows_in_few_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i % 3, i % 2, sorted(rng.choice(20, i % 4, replace=False).tolist()), None) for i in range(200)]
+    data = [(f, y, at, [float(1 + j + y) for j in range(len(at))]) for f, y, at, _ in data]
+    rows = spark.createDataFrame(data, linear.ROW).repartition(16)
+    columns = np.where(np.arange(20) % 3 > 0, np.arange(20), -1)
+    kept = [(f, y, [i for i in at if i % 3], [v for i, v in zip(at, values) if i % 3]) for f, y, at, values in data]
+    got = [(r["fold"], r["y"], np.frombuffer(r["indices"], "<i4").tolist(), np.frombuffer(r["values"], "<f8").tolist())
+           for r in linear.packed(rows, columns).collect()]
+    assert sorted(got) == sorted(kept)
+
+    monkeypatch.setattr(linear, "TASK_ROWS", 1)
+    asked, coalesce = [], type(rows).coalesce
+    monkeypatch.setattr(type(rows), "coalesce", lambda df, n: asked.append(n) or coalesce(df, n))
+    fits = [linear.Fit(None, None, 1.0, True), linear.Fit(np.arange(20) % 3 * 1.0, 1, 0.5, False)]
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    direct = linear.fit_all(rows, 20, fits, 50)
+    assert min(asked) <= linear.CORE_TASKS * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(linear, "SENT_BYTES", 0)
+    summed = linear.fit_all(rows, 20, fits, 50)
+    for a, b in zip(direct, summed):
+        assert a.classes == b.classes and np.allclose(a.table, b.table, atol=1e-6)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
