@@ -327,12 +327,22 @@ def extra_experiments(train_rows: DataFrame, test_rows: DataFrame, setting: Sett
         model = train(rows, setting)
         return model, metrics.overall_metrics(model.transform(test_rows)).first()["macro_f1"]
 
-    original, base = score(train_rows)
-    consistent = consistent_rows(original.transform(train_rows)).drop("prediction").persist()
-    _, filtered = score(consistent)
-    consistent.unpersist()
-    even = downsample(train_rows, "label", id_col).persist()
-    _, down = score(even)
-    even.unpersist()
-    return spark.createDataFrame([("original_tuned", base), ("downsampling", down), ("filtered_label", filtered)],
+    def filtered() -> tuple[float, float]:
+        original, base = score(train_rows)
+        consistent = consistent_rows(original.transform(train_rows)).drop("prediction").persist()
+        try:
+            return base, score(consistent)[1]
+        finally:
+            consistent.unpersist()
+
+    def evened() -> float:
+        even = downsample(train_rows, "label", id_col).persist()
+        try:
+            return score(even)[1]
+        finally:
+            even.unpersist()
+
+    # the rows of equally large classes do not wait for the first model
+    (base, filtered_f1), down = together([filtered, evened])
+    return spark.createDataFrame([("original_tuned", base), ("downsampling", down), ("filtered_label", filtered_f1)],
                                  "experiment string, macro_f1 double")

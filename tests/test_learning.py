@@ -318,3 +318,25 @@ def test_linear_passes_read_packed_rows_in_few_tasks(spark, monkeypatch):
     for a, b in zip(direct, summed):
         assert a.classes == b.classes and np.allclose(a.table, b.table, atol=1e-6)
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_experiments_that_need_no_other_run_at_a_time(spark, monkeypatch):
+    import threading
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("label"))
+
+    both, trained = threading.Barrier(2), []
+
+    def train(rows, setting):
+        trained.append(rows.count())
+        if len(trained) <= 2:
+            both.wait(30)  # the first model and that of the even classes; one after the other they would wait in vain
+        return Model()
+
+    monkeypatch.setattr(sentiment, "train", train)
+    rows = spark.createDataFrame([(i, "positive" if i % 3 else "negative", "x") for i in range(30)], "review_id long, label string, prepared string")
+    monkeypatch.setattr(sentiment, "consistent_rows", lambda df: df.where("review_id < 25"))
+    found = {r["experiment"]: r["macro_f1"] for r in sentiment.extra_experiments(rows, rows, sentiment.Settings()).collect()}
+    assert set(found) == {"original_tuned", "downsampling", "filtered_label"} and sorted(trained) == [20, 25, 30]
