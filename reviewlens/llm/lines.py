@@ -7,17 +7,19 @@ set of Jaccard similarity 0.8 or more; the earliest stays.
    of words keeps the filters below exact; rare first keeps their lists short.
 2. Lines with equal sets are one entry with its first place (pre-aggregated, so a line that makes up a third of
    all lines leaves each task once).
-3. Prefix filter: entries that match share one of their rarest ``size/5 + 1`` words.  The join on such a word also
-   applies the length filter, the positional filter and a symmetric-difference bound on parity signatures of 64 bits
+3. Prefix filter: entries of sizes ``m <= n`` that match share one of the rarest ``m/9 + 1`` words of the one and ``n/5 + 1`` of
+   the other, so they meet in the list of that word and of the level of ``n``.  The join within the lists also applies the
+   length filter, the positional filter and a symmetric-difference bound on parity signatures of 64 bits
    (256 for long lines), all of which are necessary conditions.  An entry that may match the earliest entry of a list (its head) is compared
    with that one only, so that a family of thousands of variants costs a comparison each and not one per pair.
-4. Pairs of entries are verified by the Jaccard similarity of their words.  Entries that no pair has removed
-   although one was put off in step 3 are compared with all earlier entries of their lists.
+4. Pairs of entries are verified by the Jaccard similarity of their words, those with a head first and the others only of
+   entries still there.  Such an entry is also compared with all earlier entries of the lists in which its head has put it off.
 5. Lines that are a later copy, or that match an earlier entry, are taken out of their texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +38,8 @@ SIZE_BITS, AT_BITS = 18, 13
 #: From so many words on, the parity signature of 64 bits says little and one of 256 bits is kept beside it.
 WIDE = 112
 LANES = ["lane1", "lane2", "lane3"]
+#: Sizes of one level differ by less than this factor, which is larger than that between lines that match.
+LEVEL = 1.6
 MOST_SIZE, MOST_AT = (1 << SIZE_BITS) - 1, (1 << AT_BITS) - 1
 
 
@@ -92,10 +96,14 @@ def _lines(texts: DataFrame, rarity: Column) -> DataFrame:
         F.transform(F.slice("codes", F.lit(1), F.floor(F.size("codes") / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"))
 
 
-def _pack(line: Column, size: Column, at: Column) -> Column:
-    """Line, size and position in one number that orders by line; a size or position beyond its bits is cut down to them."""
-    return F.shiftleft(line.cast("long"), SIZE_BITS + AT_BITS).bitwiseOR(
-        F.shiftleft(F.least(size, F.lit(MOST_SIZE)).cast("long"), AT_BITS)).bitwiseOR(F.least(at, F.lit(MOST_AT)).cast("long"))
+def _pack(line: Column, size: Column, at: Column, above: Column) -> Column:
+    """Line, size, position and whether the list is of a level above the size's, in one number that orders by line.
+
+    A size or position beyond its bits is cut down to them.
+    """
+    return F.shiftleft(line.cast("long"), SIZE_BITS + AT_BITS + 1).bitwiseOR(
+        F.shiftleft(F.least(size, F.lit(MOST_SIZE)).cast("long"), AT_BITS + 1)).bitwiseOR(
+        F.shiftleft(F.least(at, F.lit(MOST_AT)).cast("long"), 1)).bitwiseOR(above.cast("long"))
 
 
 #: What the filters read of a posting.
@@ -104,8 +112,8 @@ FILTERED = ["pack", "signature", *LANES]
 
 def _may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """Necessary conditions for two entries with a common prefix word: length, position, symmetric difference."""
-    size, size2 = (F.shiftright(side("pack"), AT_BITS).bitwiseAND(MOST_SIZE) for side in (a, b))
-    at, at2 = (side("pack").bitwiseAND(MOST_AT) for side in (a, b))
+    size, size2 = (F.shiftright(side("pack"), AT_BITS + 1).bitwiseAND(MOST_SIZE) for side in (a, b))
+    at, at2 = (F.shiftright(side("pack"), 1).bitwiseAND(MOST_AT) for side in (a, b))
     both = size + size2
     folded = a("signature").bitwiseXOR(b("signature"))
     lanes = [a(c).bitwiseXOR(b(c)) for c in LANES]
@@ -116,31 +124,52 @@ def _may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column
         & (9 * F.bit_count(folded) <= both) & F.coalesce(9 * differ <= both, F.lit(True)))
 
 
+def _meet(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """The list is one in which two entries of these sizes have to meet: of the larger one's level, on a rare word of the smaller."""
+    def smaller(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        size, size2 = (F.shiftright(side("pack"), AT_BITS + 1).bitwiseAND(MOST_SIZE) for side in (x, y))
+        at = F.shiftright(x("pack"), 1).bitwiseAND(MOST_AT)
+        return (size <= size2) & ((9 * at <= size) | (size == MOST_SIZE)) & (y("pack").bitwiseAND(1) == 0)
+
+    return smaller(a, b) | smaller(b, a)
+
+
+def _level(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(LEVEL)).cast("int")
+
+
 def _posted(entries: DataFrame, ties: bool) -> DataFrame:
+    """A row per word of the prefix at the level of the entry's size, and per word that it needs to meet larger entries at the next."""
     # no other set of fewer than four words reaches the similarity, but its own, which is the same entry
-    rows = entries.where("size >= 4 and signature is not null").select(*PLACE, "size", "signature", *LANES, F.posexplode("prefix").alias("at", "code"))
-    return rows.select("code", "doc", _pack(F.col("line"), F.col("size"), F.col("at")).alias("pack"), "signature", *LANES, *["tie"] * ties)
+    rows = entries.where("size >= 4 and signature is not null").select(
+        *PLACE, "size", "signature", *LANES, _level(F.col("size")).alias("level"), _level(F.col("size") + F.floor(F.col("size") / 4)).alias("highest"),
+        F.posexplode("prefix").alias("at", "word"))
+    last = F.when(9 * F.col("at") <= F.col("size"), F.col("highest")).otherwise(F.col("level"))
+    rows = rows.select("*", F.explode(F.sequence("level", last)).alias("of"))
+    return rows.select(F.hash("word", "of").alias("code"), "doc", _pack(F.col("line"), F.col("size"), F.col("at"), F.col("of") > F.col("level")).alias("pack"),
+                       "signature", *LANES, *["tie"] * ties)
 
 
 def _place(side: str, ties: bool) -> Column:
-    line = F.shiftright(F.col(f"{side}.pack"), SIZE_BITS + AT_BITS).cast("int")
+    line = F.shiftright(F.col(f"{side}.pack"), SIZE_BITS + AT_BITS + 1).cast("int")
     return F.struct(F.col(f"{side}.doc").alias("doc"), line.alias("line"),
                     (F.col(f"{side}.tie") if ties else F.lit(0).cast("long")).alias("tie"))
 
 
-def _pairs(a: DataFrame, b: DataFrame, ties: bool, more: Column | None = None) -> DataFrame:
-    """one (earlier) and two (later): places that share a prefix word and may match.
+def _met(a: DataFrame, b: DataFrame, ties: bool, among: Callable[[Column], Column] = lambda met: met) -> DataFrame:
+    """code, one (earlier) and two (later): places that meet in a list and may match; ``b`` (later) may carry ``near``.
 
     Of two texts with one doc_id, lines with the same number never remove each other, whichever stands first here.
     """
     before = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.pack") < F.col("b.pack")))
-    condition = (F.col("a.code") == F.col("b.code")) & before & _may_match(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-    joined = a.alias("a").join(b.alias("b"), condition if more is None else condition & more)
-    return joined.select(_place("a", ties).alias("one"), _place("b", ties).alias("two")).distinct()
+    sides = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    condition = (F.col("a.code") == F.col("b.code")) & before & among(_meet(*sides)) & _may_match(*sides)
+    return a.alias("a").join(b.alias("b"), condition).select(
+        "b.code", _place("a", ties).alias("one"), _place("b", ties).alias("two"), *["b.near"] * ("near" in b.columns))
 
 
-def _first_pairs(posted: DataFrame, ties: bool) -> DataFrame:
-    """Candidates, where what may match its list's head meets the head only."""
+def _first_met(posted: DataFrame, ties: bool) -> DataFrame:
+    """Candidates with near, where what may match its list's head (near) meets the head only."""
     # column by column, so that both sides of the join read one and the same exchange
     key = ["doc", "pack", *["tie"] * ties]
     order = Window.partitionBy("code").orderBy(*key)
@@ -149,7 +178,7 @@ def _first_pairs(posted: DataFrame, ties: bool) -> DataFrame:
     is_head = F.lit(True)
     for c in key:
         is_head = is_head & (F.col(f"a.{c}") == F.col(f"b.head_{c}"))
-    return _pairs(posted, near, ties, ~F.col("b.near") | is_head)
+    return _met(posted, near, ties, lambda met: (F.col("b.near") & is_head) | (~F.col("b.near") & met))
 
 
 class _Sieve:
@@ -227,23 +256,29 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         F.min(F.struct(doc.alias("doc"), F.col("line_no").alias("line"), tie.alias("tie"))).alias("place"),
         F.first("size").alias("size"), F.first("signature").alias("signature"), *[F.first(c).alias(c) for c in LANES],
         F.first("prefix").alias("prefix")).select("entry", "place.*", "size", "signature", *LANES, "prefix"))
-    pairs = materialise(_first_pairs(_posted(entries, ties), ties))
-    tested = _verified(texts, pairs)
-    release(pairs)
-    gone = tested.where("ok").select("two").distinct()
-    put_off = materialise(tested.where("not ok").select("two").distinct().join(gone, "two", "left_anti").select("two.*"))
-    if not put_off.isEmpty():
+    posted = _posted(entries, ties)
+    met = materialise(_first_met(posted, ties))
+    copies = _verified(texts, met.where("near").select("one", "two").distinct())
+    settled = materialise(copies.where("ok").select("two").distinct())
+    pairs = met.where("not near").select("one", "two")
+    late = materialise(met.where("near").select("code", "two.*").join(settled.select("two.*"), PLACE, "left_anti").distinct())
+    if not late.isEmpty():
         # lists that hold none of those put off are not shuffled again
-        late = _posted(entries.join(put_off, PLACE, "left_semi"), ties)
-        early = _posted(entries, ties).where(_Sieve(late, "code").passes(F.col("code")))
-        pairs = _pairs(early, late, ties).join(tested.select("one", "two"), ["one", "two"], "left_anti")
-        gone = gone.union(_verified(texts, materialise(pairs)).where("ok").select("two")).distinct()
+        again = posted.where(_Sieve(late, "code").passes(F.col("code"))).alias("p")
+        line = F.shiftright("p.pack", SIZE_BITS + AT_BITS + 1).cast("int")
+        same = [F.col("p.code") == F.col("l.code"), F.col("p.doc") == F.col("l.doc"), line == F.col("l.line"),
+                *[F.col("p.tie") == F.col("l.tie")] * ties]
+        pairs = pairs.union(_met(again, again.join(late.alias("l"), same, "left_semi"), ties).select("one", "two"))
+    pairs = materialise(pairs.join(settled, "two", "left_anti").select("one", "two").distinct())
+    others = _verified(texts, pairs)
+    release(met, pairs, late, copies)
+    gone = settled.union(others.where("ok").select("two").distinct())
     near = gone.select("two.*").withColumn("near", F.lit(True))
     verdict = entries.join(near, PLACE, "left").select("entry", "doc", "line", F.coalesce("near", F.lit(False)).alias("near"))
     lost = lines.select("entry", "doc_id", "text_hash", "line_no").join(verdict, "entry").where(
         F.col("near") | (F.struct(doc, F.col("line_no")) > F.struct("doc", "line")))
     out = materialise(lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
-    release(lines, entries, tested, put_off)
+    release(lines, entries, settled, others)
     return out
 
 

@@ -493,6 +493,30 @@ def test_line_dedup_matches_brute_force(spark, docs, empty):
     assert got[2]["text"] == "" and got[2]["n_chars"] == 0 and got[3]["text"] is None and got[1]["text"] == by_id(docs)[1]["text"]
 
 
+def test_line_variants_are_verified_a_few_times_each(spark, monkeypatch):
+    base, n = [f"base{i}" for i in range(40)], 120
+    # half the words of the family stand first in a line of another kind, which is the head of their lists
+    rows = [(i, " ".join([base[i], *[f"other{i}x{j}" for j in range(39)] * 200])) for i in range(20)]
+    rows += [(100 + i, " ".join([*base[:i % 40], f"own{i}", *base[i % 40 + 1:]])) for i in range(n)]
+    counts, verified = [], lines._verified
+
+    def counted(texts, pairs):
+        counts.append(pairs.count())
+        return verified(texts, pairs)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    found = by_id(lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(r["n_removed"] for r in found.values()) == n - 1 and 0 < sum(counts) <= 6 * n
+
+
+def test_lines_of_neighbouring_sizes_meet(spark):
+    rows = [(0, " ".join(f"w{i}" for i in range(300)))]
+    rows += [(k, " ".join(f"w{i}" for i in range(size))) for k, size in enumerate((240, 239, 300, 375, 376), 1)]
+    found = {r["doc_id"]: r["n_removed"] for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = kept_lines(rows)
+    assert found == {i: sum(g for *_, g in own) for i, own in expected.items()}
+
+
 # --- pipeline ----------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
