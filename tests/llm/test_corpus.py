@@ -443,6 +443,23 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, block):
         assert (r["n_bytes"], gone, len(r["spans"]), bytes(r["kept"])) == expected[r["doc_id"]]
 
 
+def test_suffix_arrays_hold_only_what_may_repeat():
+    rng = random.Random(12)
+    random_bytes = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    gram, tail = random_bytes(64), random_bytes(300)
+    # places of the gram differ; only the first two agree in 400 bytes around it, the third in 364, the last in none
+    one, two = random_bytes(40) + b"A" * 80 + gram + tail + b"x", random_bytes(10) + b"A" * 80 + gram + tail + b"yy"
+    near, far = random_bytes(60) + gram + tail + b"z" * 40, random_bytes(100) + gram + random_bytes(300)
+    found = suffixes.open_windows([one, two, near, far], [120, 90, 60, 100])
+    assert found == {0: (40, 84), 1: (10, 54)}
+    flags, _ = suffixes.repeated_starts([one, two, near, far])
+    for i, flag in enumerate(flags):
+        low, high = found.get(i, (0, -1))
+        assert np.flatnonzero(flag).tolist() == list(range(low, high + 1))
+    assert suffixes.open_windows([one], [120]) == {}
+    assert suffixes.open_windows([near, far], [60, 100]) == {}
+
+
 def test_suffix_dedup_on_awkward_rows(docs, empty):
     rows = docs.collect()
     expected = Counter((r["doc_id"], e[0], e[1]) for r, e in zip(rows, repeated_bytes([(r["text"] or "").encode() for r in rows], 400)))
