@@ -252,6 +252,24 @@ def test_linkage_searches_only_what_changed(spark, caplog):
         assert {frozenset(s) for s in found.values()} == sequential_average_linkage(x, k)
 
 
+def test_linkage_ends_in_one_task_with_the_same_merges(spark, caplog):
+    from reviewlens.operators import clustering
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=(60, 3)), 1)  # with ties, copies and a row of zeros
+    x[5], x[6] = x[4], 0.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9))],
+                               "id long, vector array<double>")
+    found = []
+    for block_rows in (9, 2048):
+        caplog.clear()
+        with caplog.at_level("INFO"):
+            _, merges = clustering.merge_average_linkage(df, "id", block_rows=block_rows)
+        found.append((sorted((r["child"], r["parent"], round(r["height"], 9)) for r in merges.collect()),
+                      sum(r.getMessage().startswith("searched") for r in caplog.records)))
+    assert found[0][0] == found[1][0] and len(found[0][0]) == len({tuple(r) for r in x}) - 2
+    assert found[0][1] > found[1][1] == 0
+
+
 def test_report_of_keyed_sections(spark, tmp_path):
     from reviewlens.sources import reports
     from reviewlens.sources.tables import write_lines
