@@ -270,6 +270,32 @@ def test_linkage_ends_in_one_task_with_the_same_merges(spark, caplog):
     assert found[0][1] > found[1][1] == 0
 
 
+def test_kmeans_starts_share_their_passes(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from reviewlens.operators import clustering
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 5))  # no clusters: many passes
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>").repartition(3)
+    shaped = df.select(array_to_vector(F.col("vector")).alias("features")).persist()
+    shaped.count()
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    at = jobs()
+    expected = {(k, i): KMeans(k=k, seed=42 + i, featuresCol="features").fit(shaped) for k in (3, 5, 7) for i in range(3)}
+    alone, at = jobs() - at, jobs()
+    best = clustering._best_starts(shaped, [3, 5, 7], 3, 42)
+    assert jobs() - at < 0.75 * alone
+    for k, model in best.items():
+        i = min(range(3), key=lambda i: (expected[k, i].summary.trainingCost, i))
+        assert abs(model.cost - expected[k, i].summary.trainingCost) < 1e-6 * model.cost
+        assert np.allclose(model.centres, np.array(expected[k, i].clusterCenters()))
+        said = {r["id"]: r["cluster_id"] for r in clustering.kmeans_labels(df, model).collect()}
+        assert said == {r["id"]: r["prediction"] for r in expected[k, i].transform(
+            df.withColumn("features", array_to_vector(F.col("vector")))).collect()}
+    shaped.unpersist()
+
+
 def test_report_of_keyed_sections(spark, tmp_path):
     from reviewlens.sources import reports
     from reviewlens.sources.tables import write_lines
