@@ -384,3 +384,35 @@ def test_experiments_that_need_no_other_run_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(sentiment, "consistent_rows", lambda df: df.where("review_id < 25"))
     found = {r["experiment"]: r["macro_f1"] for r in sentiment.extra_experiments(rows, rows, sentiment.Settings()).collect()}
     assert set(found) == {"original_tuned", "downsampling", "filtered_label"} and sorted(trained) == [20, 25, 30]
+
+
+def test_models_are_solved_in_groups_of_bounded_size(sparse_rows, monkeypatch):
+    _, df = sparse_rows
+    fits = [linear.Fit(None, 1, 1.0, True), linear.Fit(None, None, 0.5, False)]
+    together = linear.fit_all(df, 30, fits)
+    sizes, minimise = [], linear.minimise
+    monkeypatch.setattr(linear, "minimise", lambda evaluate, start, *more: sizes.append(len(start)) or minimise(evaluate, start, *more))
+    monkeypatch.setattr(linear, "STATE_BYTES", 2 * 31 * (8 * linear.HISTORY + 64))
+    apart = linear.fit_all(df, 30, fits)
+    assert sizes == [2, 2, 2]
+    for a, b in zip(together, apart):
+        assert a.classes == b.classes and np.allclose(a.table, b.table, atol=1e-9)
+
+
+def test_margins_of_rows_without_entries():
+    x = np.array([1, 0, 2]), np.array([1.0, 2.0, 3.0]), np.array([0, 0, 2, 2, 3, 3])
+    assert linear._dot(x, np.array([1.0, 10.0, 100.0, 0.5])).tolist() == [0.5, 12.5, 0.5, 300.5, 0.5]
+    assert linear._dot((np.zeros(0, int), np.zeros(0), np.array([0, 0])), np.array([1.0, 0.5])).tolist() == [0.5]
+
+
+def test_a_solver_needs_few_passes():
+    """With ten remembered steps it took 114."""
+    curve, passes = np.concatenate([np.ones(40), np.logspace(0, 3, 20)])[None], []
+
+    def evaluate(chosen, w):
+        passes.append(len(chosen))
+        d = w - 1.0
+        return (curve[chosen] * d * d).sum(axis=1) / 2, curve[chosen] * d
+
+    found = linear.minimise(evaluate, np.zeros((1, 60)), 500, 1e-5)
+    assert np.abs(curve * (found - 1.0)).max() < 0.02 and len(passes) < 90
