@@ -1,5 +1,6 @@
 """What a task or the driver holds stays small: boosted trees' columns, tables of the merging rounds."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -39,3 +40,66 @@ def test_merging_sends_no_large_table_through_the_driver(spark, monkeypatch):
     after = found()
     assert after[:3] == before[:3]
     assert "Broadcast" not in after[3]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_meet_without_copies_on_disk(spark, monkeypatch, tmp_path):
+    """Every block used to be shuffled once for each of its partners, and rounds left their tables and shuffles behind."""
+    from pathlib import Path
+
+    from reviewlens import runtime
+    written, materialise = [], runtime.materialise
+
+    def kept(df):
+        table = materialise(df)
+        written.append((table, runtime._written[table], df._jdf.queryExecution().executedPlan().toString()))
+        return table
+
+    monkeypatch.setattr(clustering, "materialise", kept)
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in range(16)], "vec_id long, vector array<double>")
+    before = spark.conf.get(runtime._DELETED)
+    members, merges = clustering.merge_average_linkage(vectors, "vec_id", block_rows=6)
+    plans = [plan for _, _, plan in written if "CartesianProduct" in plan]
+    assert plans and all("Join" not in plan for plan in plans)
+    left = [path for _, path, _ in written if Path(path.removeprefix("file:")).exists()]
+    assert sorted(left) == sorted([runtime._written[members], runtime._written[merges]]) and spark.conf.get(runtime._DELETED) == before
+    written.clear()
+    scan = clustering.scan_hierarchical(vectors, "vec_id", [2, 5]).collect()
+    assert [(r["k"], r["clusters"]) for r in scan] == [(2, 2), (5, 5)]
+    assert sum("vector" in table.columns for table, *_ in written) == 1  # one copy of the vectors for all k
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlens.runtime import materialise
+    drivers = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: sum(str(f).endswith(".data") for f in iterate(drivers.getAllFiles()))
+
+    def iterate(seq):
+        it = seq.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    before = shuffles()
+    table = materialise(spark.range(1000).repartition(4, F.col("id") % 7))
+    end = time.time() + 10
+    while shuffles() > before and time.time() < end:
+        time.sleep(0.1)
+    assert shuffles() <= before and table.count() == 1000
+
+
+def test_the_last_merges_hold_few_distances_at_a_time(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    n = 60
+    rest = pa.table([pa.array(np.arange(n)), pa.array([v.tolist() for v in rng.normal(size=(n, 4))], pa.list_(pa.float64())), pa.array(np.ones(n, np.int64)),
+                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())], schema=clustering._REST)
+    merges = lambda: [b.to_pylist() for b in clustering._merge_rest(iter(rest.to_batches()))]
+    before, outer, held = merges(), np.outer, []
+    monkeypatch.setattr(clustering, "SEARCHED_ROWS", 7)
+    monkeypatch.setattr(np, "outer", lambda a, b: held.append(len(a)) or outer(a, b))
+    after = merges()
+    assert max(held) == 7 and sum(map(len, after)) == n - 1
+    for a, b in zip(sum(before, []), sum(after, [])):
+        assert (a["child"], a["parent"]) == (b["child"], b["parent"]) and abs(a["height"] - b["height"]) < 1e-9
