@@ -103,3 +103,37 @@ def test_the_last_merges_hold_few_distances_at_a_time(monkeypatch):
     assert max(held) == 7 and sum(map(len, after)) == n - 1
     for a, b in zip(sum(before, []), sum(after, [])):
         assert (a["child"], a["parent"]) == (b["child"], b["parent"]) and abs(a["height"] - b["height"]) < 1e-9
+
+
+def test_the_driver_keeps_no_vectors_of_passes(spark, monkeypatch):
+    """Vectors sent to a pass used to stay with the driver to the end of the session."""
+    from reviewlens.operators import linear
+    kept, broadcast = [], type(spark.sparkContext).broadcast
+
+    def watched(sc, value):
+        kept.append(broadcast(sc, value))
+        return kept[-1]
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
+    rows = spark.createDataFrame([(0, int(i % 5 == 0), [i % 5], [1.0 + i % 3]) for i in range(40)], linear.ROW).coalesce(1)
+    linear.fit_all(rows, 5, [linear.Fit(None, None, 1.0, False)], 10)
+    assert len(kept) > 3 and sum(b._jbroadcast.isValid() for b in kept) <= 1  # the column numbers
+
+
+def test_vocabularies_share_their_terms():
+    from reviewlens.operators import features, sentiment
+    v = features.TextVectorizer(high=1)
+    found = sentiment._Vocabularies(["a", "b", "c"], {("k", None): (v, *sentiment._by_place(np.array([2, 0]), np.array([0.5, 1.5])))})
+    assert found["k", None].terms == ["a", "c"] and found["k", None].idf == [1.5, 0.5] and found["k", None].high == 1
+    assert all(isinstance(x, np.ndarray) for x in found.parts["k", None][1:])
+
+
+def test_levels_send_sums_of_few_tasks(spark, monkeypatch):
+    """One task for every 4096 rows sent its sums in every level, so that what a level moves grew with the rows."""
+    from reviewlens.operators import linear
+    monkeypatch.setattr(boosting, "TASK_ROWS", 1)
+    monkeypatch.setattr(boosting, "CORE_TASKS", 0)
+    rows = spark.createDataFrame([(0, i % 2, [i % 2], [1.0]) for i in range(64)], linear.ROW).repartition(16)
+    table, models = boosting.fit_all(rows, 2, [linear.Fit(None, None, 1.0, False)], 2, rounds=1, depth=1)
+    assert table.rdd.getNumPartitions() == 1 and models[0].rounds[0][0].splits
+    table.unpersist()
